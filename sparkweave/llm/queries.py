@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secret_scan
+from . import quality_model, quality_rules, secret_scan
 from .common import table
 
 QUERIES: dict = {}
@@ -19,3 +20,36 @@ def query(f):
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents")))
+    return quality_rules.decide(marked).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "failed_rules")
+
+
+ORACLES["op4_quality_rules"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, [x for x in regexp_split_to_array(text, '[\x20\x09-\x0D]+') if x <> ''] AS words,
+  [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, 5)) AS k FROM h WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+b AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
+  + 8 * (n_lines > 0 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (n_words > 0 AND word_chars < 2 * n_words)::BIGINT
+  + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed,
+  (failed_rules & 15) = 0 AS kept, failed_rules FROM b
+"""
+
+
+@query
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.expr("pmod(crc32(CAST(doc_id AS STRING)), 3) = 1")
+    return quality_model.score(docs, ranker).select("doc_id", held_out.alias("held_out"), "score", "predicted")
