@@ -1,42 +1,42 @@
-"""What several operators share: the shared scratch folder and table access."""
+"""What several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkweave.functions.scratch import scratch, shared_dir, stored
+
+__all__ = ["SPACE", "SPACE_RUN", "runs", "scratch", "shared_dir", "stored", "table"]
+
 #: ASCII white space; words are the runs between it.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only a local master without that setting gets a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="sparkweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, one table at a time, from batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in keys]
+        rows = list(zip(*columns, strict=True))
+        begin = 0
+        for i in range(1, len(rows) + 1):
+            if i < len(rows) and rows[i] == rows[begin]:
+                continue
+            part = batch.slice(begin, i - begin)
+            if held and rows[begin] != held_key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+            held_key = rows[begin]
+            begin = i
+    if held:
+        yield pa.Table.from_batches(held)

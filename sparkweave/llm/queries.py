@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_model, quality_rules, secret_scan
+from . import exact_dedup, ngram_join, quality_model, quality_rules, secret_scan
 from .common import table
 
 QUERIES: dict = {}
@@ -53,3 +53,21 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranker = quality_model.train(docs, table(spark, sf_dir, "labels"))
     held_out = F.expr("pmod(crc32(CAST(doc_id AS STRING)), 3) = 1")
     return quality_model.score(docs, ranker).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+ORACLES["op6_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS kept,
+  sha256(text) AS text_sha256 FROM t WINDOW w AS (PARTITION BY text)
+"""
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
