@@ -30,7 +30,8 @@ def sha256(text: Column) -> Column:
 
 def _state(log: DataFrame, batch_bytes: int) -> DataFrame:
     """(digest, first, n) of every digest, from the state after the stream has taken the whole log."""
-    spark = log.sparkSession.newSession()
+    spark, partitions = log.sparkSession.newSession(), "spark.sql.shuffle.partitions"
+    spark.conf.set(partitions, log.sparkSession.conf.get(partitions))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # state files take the room of what is in them, not a reserve for each of many partitions
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
