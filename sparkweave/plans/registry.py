@@ -1,6 +1,223 @@
-"""Named queries over the driver's tables, each with its DuckDB twin."""
+"""Named queries over the driver's tables, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from sparkweave.operators import girvan_newman, label_propagation, louvain, metrics, partition, spectral, transform
+from sparkweave.sources import tables
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+CO = """l AS (SELECT DISTINCT l_orderkey, l_partkey AS part FROM lineitem),
+e AS (SELECT a.part AS u, b.part AS v, 1.0::DOUBLE AS weight FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.part < b.part GROUP BY 1, 2 HAVING count(*) >= 2),
+v AS (SELECT DISTINCT node FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e)),
+adj AS (SELECT u AS src, v AS dst, weight FROM e UNION ALL SELECT v, u, weight FROM e),
+deg AS (SELECT v.node, coalesce(sum(adj.weight), 0)::DOUBLE AS degree FROM v LEFT JOIN adj ON adj.src = v.node GROUP BY 1)"""
+LABELS = ", p AS (SELECT node, (node % 7)::INT AS label FROM v), ref AS (SELECT node, (node % 5)::INT AS label FROM v)"
+RING = """v AS (SELECT c_custkey AS node FROM customer), n AS (SELECT count(*) AS n FROM v),
+e AS (SELECT a.node AS u, b.node AS v, 1.0::DOUBLE AS weight FROM v a JOIN v b ON a.node // 10 = b.node // 10 AND a.node < b.node
+  UNION ALL SELECT least(node, (node + 1) % n), greatest(node, (node + 1) % n), 1.0 FROM v, n WHERE node % 10 = 9),
+adj AS (SELECT u AS src, v AS dst, weight FROM e UNION ALL SELECT v, u, weight FROM e)"""
+REACH = """c AS (SELECT node, node AS hit FROM v UNION SELECT c.node, adj.dst FROM c JOIN adj ON adj.src = c.hit),
+root AS (SELECT node, min(hit) AS component FROM c GROUP BY 1)"""
+COMMUNITY = """, s AS (SELECT label, count(*) AS size FROM p GROUP BY 1),
+x AS (SELECT a.label AS lu, b.label AS lv, e.u, e.v, weight FROM e JOIN p a ON a.node = e.u JOIN p b ON b.node = e.v),
+i AS (SELECT lu AS label, sum(weight) AS w, count(*) FILTER (u <> v) AS k FROM x WHERE lu = lv GROUP BY 1),
+o AS (SELECT label, sum(weight) AS w FROM (SELECT lu AS label, weight FROM x WHERE lu <> lv UNION ALL SELECT lv, weight FROM x WHERE lu <> lv) GROUP BY 1),
+d AS (SELECT label, sum(degree) AS vol FROM p JOIN deg USING (node) GROUP BY 1), m AS (SELECT sum(weight) AS m FROM e),
+t AS (SELECT s.label AS community, size::BIGINT AS size, coalesce(k, 0)::BIGINT AS internal_edges, coalesce(i.w, 0)::DOUBLE AS internal_weight, coalesce(o.w, 0)::DOUBLE AS boundary_weight,
+  vol::DOUBLE AS volume, CASE WHEN size >= 2 THEN 2.0::DOUBLE * coalesce(k, 0) / (size * (size - 1)) END AS density,
+  CASE WHEN least(vol, 2 * m - vol) > 0 THEN coalesce(o.w, 0) / least(vol, 2 * m - vol) END AS conductance, m
+  FROM s LEFT JOIN i USING (label) LEFT JOIN o USING (label) JOIN d USING (label), m)"""
+CELLS = """, j AS (SELECT p.label AS p, ref.label AS r, count(*) AS n FROM p JOIN ref USING (node) GROUP BY 1, 2),
+jp AS (SELECT p, sum(n) AS a FROM j GROUP BY 1), jr AS (SELECT r, sum(n) AS b FROM j GROUP BY 1), nn AS (SELECT sum(n)::DOUBLE AS n FROM j)"""
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _nine(df, *names):
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
+@query(f"WITH {CO} SELECT * FROM e")
+def edges_canonical(spark, sf_dir):
+    return tables.parts_co(spark, sf_dir).edges
+
+
+@query(f"WITH {CO} SELECT node, degree FROM deg")
+def degree_stats(spark, sf_dir):
+    return tables.parts_co(spark, sf_dir).degrees()
+
+
+@query(f"WITH RECURSIVE {CO}, {REACH} SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m, 0::BIGINT AS isolated_nodes, min(degree)::BIGINT AS min_degree, max(degree)::BIGINT AS max_degree, round(avg(degree), 9) AS mean_degree, (SELECT count(DISTINCT component) FROM root) AS components FROM deg")
+def graph_metadata(spark, sf_dir):
+    return _nine(transform.graph_metadata(tables.parts_co(spark, sf_dir)), "mean_degree")
+
+
+@query(f"WITH RECURSIVE {CO}, {REACH} SELECT node, (dense_rank() OVER (ORDER BY component) - 1)::INT AS label FROM root")
+def connected_components(spark, sf_dir):
+    return partition.connected_components(tables.parts_co(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {CO}, {REACH}, b AS (SELECT component FROM root GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), k AS (SELECT node AS old, row_number() OVER (ORDER BY node) - 1 AS node FROM root JOIN b USING (component)) SELECT x.node AS u, y.node AS v, weight FROM e JOIN k x ON x.old = e.u JOIN k y ON y.old = e.v")
+def largest_component(spark, sf_dir):
+    return transform.largest_component(tables.parts_co(spark, sf_dir))[0].edges
+
+
+@query(f"WITH RECURSIVE {CO}{LABELS}, inside AS (SELECT adj.* FROM adj JOIN p a ON a.node = src JOIN p b ON b.node = dst WHERE a.label = b.label), c AS (SELECT node, node AS hit FROM v UNION SELECT c.node, inside.dst FROM c JOIN inside ON inside.src = c.hit), root AS (SELECT node, min(hit) AS component FROM c GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY component) - 1)::INT AS label FROM root")
+def split_communities(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    return partition.split_disconnected(graph, tables.by_modulus(graph, 7))
+
+
+def _splitmix_sql(x: str) -> str:
+    a = f"((({x})::UHUGEINT + 11400714819323198485) % 18446744073709551616)::UBIGINT"
+    b = f"((xor({a}, {a} >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616)::UBIGINT"
+    c = f"((xor({b}, {b} >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616)::UBIGINT"
+    return f"xor({c}, {c} >> 31)"
+
+
+@query(f"WITH {CO}, h AS (SELECT *, {_splitmix_sql('(u::UBIGINT << 32) | v::UBIGINT')} AS h FROM e), g AS (SELECT *, {_splitmix_sql('xor(7::UBIGINT, h)')} AS g FROM h) SELECT u, v, weight FROM g WHERE (g >> 11)::DOUBLE / 9007199254740992 >= 0.05")
+def edge_dropout(spark, sf_dir):
+    return transform.drop_edges(tables.parts_co(spark, sf_dir), 0.05, 7)[0].edges
+
+
+@query(f"WITH {CO}{LABELS}, f AS (SELECT label, min(node) AS first FROM p GROUP BY 1), r AS (SELECT label, (row_number() OVER (ORDER BY first) - 1)::INT AS n FROM f) SELECT node, n AS label FROM p JOIN r USING (label)")
+def normalize_labels(spark, sf_dir):
+    return partition.normalize(tables.by_modulus(tables.parts_co(spark, sf_dir), 7))
+
+
+@query(f"WITH {CO}, k AS (SELECT node AS old, row_number() OVER (ORDER BY node) - 1 AS node FROM v WHERE node % 3 <> 0) SELECT x.node AS u, y.node AS v, weight FROM e JOIN k x ON x.old = e.u JOIN k y ON y.old = e.v")
+def induced_subgraph(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    return transform.induced(graph, graph.vertices.where("node % 3 <> 0"))[0].edges
+
+
+@query(f"WITH {CO}{LABELS} SELECT least(a.label, b.label)::BIGINT AS u, greatest(a.label, b.label)::BIGINT AS v, sum(weight) AS weight FROM e JOIN p a ON a.node = e.u JOIN p b ON b.node = e.v GROUP BY 1, 2")
+def contract_graph(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    return transform.contract(graph, tables.by_modulus(graph, 7)).edges
+
+
+@query(f"WITH {CO}{LABELS}{COMMUNITY} SELECT * EXCLUDE (m) REPLACE (round(density, 9) AS density, round(conductance, 9) AS conductance) FROM t")
+def community_table(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    return _nine(metrics.community_table(graph, tables.by_modulus(graph, 7)), "density", "conductance")
+
+
+@query(f"WITH {CO}{LABELS}{COMMUNITY} SELECT round(sum(internal_weight) / any_value(m) - 2 * sum(volume * volume) / (4 * any_value(m) * any_value(m)), 9) AS modularity FROM t")
+def modularity(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    return _nine(metrics.modularity_of(metrics.community_table(graph, tables.by_modulus(graph, 7)), 2.0), "modularity")
+
+
+@query(f"WITH {CO}{LABELS}{COMMUNITY} SELECT count(*) AS num_communities, count(*) FILTER (size = 1) AS singletons, round(sum(internal_weight) / any_value(m), 9) AS coverage, round(sum(boundary_weight / size), 9) AS ratio_cut, round(sum(boundary_weight / volume), 9) AS normalized_cut, round(sum(internal_weight) / any_value(m) - sum(volume * volume) / (4 * any_value(m) * any_value(m)), 9) AS modularity_q_gamma, 0::BIGINT AS isolated_nodes FROM t")
+def partition_metrics(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    rows = metrics.partition_metrics(graph, tables.by_modulus(graph, 7))
+    return _nine(rows.drop("size_distribution", "density_distribution", "conductance_distribution"), "coverage", "ratio_cut", "normalized_cut", "modularity_q_gamma")
+
+
+_DIST = " UNION ALL ".join(
+    f"SELECT '{c}' AS metric, count({c}) AS valid_count, round(min({c})::DOUBLE, 9) AS \"min\", round(quantile_cont({c}, 0.25)::DOUBLE, 9) AS q1, round(quantile_cont({c}, 0.5)::DOUBLE, 9) AS median, round(quantile_cont({c}, 0.75)::DOUBLE, 9) AS q3, round(max({c})::DOUBLE, 9) AS \"max\", round(avg({c}), 9) AS community_mean, round(sum({c} * size)::DOUBLE / sum(size) FILTER ({c} IS NOT NULL), 9) AS node_weighted_mean FROM t"
+    for c in ("size", "density", "conductance")
+)
+
+
+@query(f"WITH {CO}{LABELS}{COMMUNITY} {_DIST}")
+def distribution_summary(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    rows = metrics.distributions(metrics.community_table(graph, tables.by_modulus(graph, 7)))
+    return _nine(rows, "min", "q1", "median", "q3", "max", "community_mean", "node_weighted_mean")
+
+
+@query(f"""WITH {CO}{LABELS}{CELLS}, k AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM j)::BIGINT AS a, (SELECT sum(a * (a - 1) // 2) FROM jp)::BIGINT AS pp, (SELECT sum(b * (b - 1) // 2) FROM jr)::BIGINT AS rr, (SELECT (n * (n - 1) / 2)::BIGINT FROM nn) AS t),
+z AS (SELECT a, pp - a AS b, rr - a AS c, t - pp - rr + a AS d, pp::DOUBLE * rr / t AS ex, (pp + rr) / 2.0::DOUBLE AS mx FROM k)
+SELECT a, b, c, d, round(a / (a + b), 9) AS pairwise_precision, round(a / (a + c), 9) AS pairwise_recall, round(2 * a / (2 * a + b + c), 9) AS pairwise_f1, round((a - ex) / (mx - ex), 9) AS ari FROM z""")
+def pairwise_agreement(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    return _nine(metrics.agreement(tables.by_modulus(graph, 7), tables.by_modulus(graph, 5)), "pairwise_precision", "pairwise_recall", "pairwise_f1", "ari")
+
+
+@query(f"""WITH {CO}{LABELS}{CELLS}, mi AS (SELECT sum(j.n / nn.n * ln(j.n * nn.n / (a::DOUBLE * b))) AS mi FROM j JOIN jp USING (p) JOIN jr USING (r), nn),
+hp AS (SELECT -sum(a / nn.n * ln(a / nn.n)) AS h FROM jp, nn), hr AS (SELECT -sum(b / nn.n * ln(b / nn.n)) AS h FROM jr, nn),
+ex AS (SELECT a::BIGINT AS a, b::BIGINT AS b, nn.n, unnest(range(greatest(1, a + b - nn.n)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM jp, jr, nn),
+emi AS (SELECT sum(k / n * ln(n * k / (a::DOUBLE * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS emi FROM ex)
+SELECT round(mi, 7) AS mutual_information, round(hp.h, 7) AS h_predicted, round(hr.h, 7) AS h_reference, round(emi, 7) AS expected_mutual_information, round((mi - emi) / ((hp.h + hr.h) / 2 - emi), 7) AS ami FROM mi, hp, hr, emi""")
+def ami(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    row = metrics.adjusted_mutual_information(tables.by_modulus(graph, 7), tables.by_modulus(graph, 5))
+    return row.select(*(F.round(c, 7).alias(c) for c in row.columns))
+
+
+def _sweep_sql(k: int) -> str:
+    return f"w{k} AS (SELECT src AS node, label, sum(weight) AS w FROM adj JOIN l{k} ON l{k}.node = adj.dst GROUP BY 1, 2), l{k + 1} AS (SELECT node, arg_max(label, (w, -label)) AS label FROM w{k} GROUP BY 1)"
+
+
+@query(f"WITH RECURSIVE {RING}, l0 AS (SELECT node, node AS label FROM v), {_sweep_sql(0)}, {_sweep_sql(1)}, f AS (SELECT label, min(node) AS first FROM l2 GROUP BY 1) SELECT l2.node, (dense_rank() OVER (ORDER BY first) - 1)::INT AS label FROM l2 JOIN f USING (label)")
+def lpa_sync(spark, sf_dir):
+    return label_propagation.run(tables.planted(spark, sf_dir), label_propagation.Config(asynchronous=False, random_ties=False)).labels
+
+
+@query("SELECT c_custkey AS node, (c_custkey // 10)::INT AS label FROM customer")
+def louvain_planted(spark, sf_dir):
+    n = tables.read(spark, sf_dir, "customer").count()
+    return louvain.run(tables.planted(spark, sf_dir), louvain.Config(resolution=max(1.0, n / 750))).labels
+
+
+GROUPS = "SELECT c_custkey AS node, (c_custkey // 10)::INT AS label FROM customer WHERE c_custkey < 100"
+
+
+@query(GROUPS)
+def girvan_newman_k(spark, sf_dir):
+    return girvan_newman.run(tables.planted(spark, sf_dir, groups=10), girvan_newman.Config(target_communities=10)).labels
+
+
+@query(GROUPS)
+def spectral_k(spark, sf_dir):
+    return spectral.run(tables.planted(spark, sf_dir, groups=10), spectral.Config(num_communities=10, kmeans_restarts=20)).labels
+
+
+@query()
+def lpa_async(spark, sf_dir):
+    return label_propagation.run(tables.planted(spark, sf_dir, groups=10)).labels
+
+
+@query("""WITH RECURSIVE v AS (SELECT c_custkey AS node FROM customer WHERE c_custkey < 50),
+e AS (SELECT a.node AS u, b.node AS v FROM v a JOIN v b ON a.node // 10 = b.node // 10 AND a.node < b.node UNION ALL SELECT node, node + 1 FROM v WHERE node % 10 = 9 AND node < 49),
+adj AS (SELECT u AS a, v AS b FROM e UNION ALL SELECT v, u FROM e),
+walk AS (SELECT node AS s, node AS t, 0 AS d, [node] AS seen FROM v UNION ALL SELECT s, adj.b, d + 1, list_append(seen, adj.b) FROM walk JOIN adj ON adj.a = walk.t WHERE NOT list_contains(seen, adj.b) AND d < 9 AND adj.b // 10 >= walk.t // 10 AND (adj.b // 10 > walk.t // 10 OR d = 0 OR walk.seen[-2] // 10 < walk.t // 10)),
+near AS (SELECT s, t, min(d) AS d FROM walk WHERE t >= 0 GROUP BY 1, 2),
+best AS (SELECT walk.* FROM walk JOIN near USING (s, t, d) WHERE s // 10 < t // 10 OR (s // 10 = t // 10 AND s < t)),
+ways AS (SELECT s, t, count(*) AS n FROM best GROUP BY 1, 2),
+steps AS (SELECT s, t, unnest(range(1, len(seen))) AS i, seen FROM best WHERE len(seen) > 1)
+SELECT least(seen[i], seen[i + 1]) AS u, greatest(seen[i], seen[i + 1]) AS v, round(sum(1.0::DOUBLE / n), 9) AS score FROM steps JOIN ways USING (s, t) GROUP BY 1, 2""")
+def edge_betweenness(spark, sf_dir):
+    return _nine(girvan_newman.betweenness(tables.planted(spark, sf_dir, groups=5)), "score")
+
+
+@query(f"""WITH {RING}, deg AS (SELECT src AS node, sum(weight) AS degree FROM adj GROUP BY 1), pos AS (SELECT node, row_number() OVER (ORDER BY node) AS position, degree FROM deg),
+st AS (SELECT least(a.position, b.position) AS position, weight AS step FROM e JOIN pos a ON a.node = e.u JOIN pos b ON b.node = e.v UNION ALL SELECT greatest(a.position, b.position), -weight FROM e JOIN pos a ON a.node = e.u JOIN pos b ON b.node = e.v),
+s AS (SELECT position, degree, coalesce((SELECT sum(step) FROM st WHERE st.position = pos.position), 0) AS step FROM pos),
+r AS (SELECT position, sum(step) OVER (ORDER BY position) AS cut, sum(degree) OVER (ORDER BY position) AS "left", sum(degree) OVER () AS total FROM s),
+z AS (SELECT position, cut * (1 / "left" + 1 / (total - "left")) AS score, cut, "left" FROM r WHERE total > "left")
+SELECT position, round(score, 9) AS score, cut, "left" FROM z ORDER BY round(score, 12), position LIMIT 1""")
+def sweep_cut(spark, sf_dir):
+    graph = tables.planted(spark, sf_dir)
+    return _nine(spectral.sweep(graph, graph.vertices.select("node", F.col("node").cast("double").alias("x"))), "score")
+
+
+@query(f"WITH {CO}, c AS (SELECT count(*)::DOUBLE AS cut FROM e WHERE u % 2 <> v % 2), s AS (SELECT sum(degree) FILTER (node % 2 = 0) AS a, sum(degree) FILTER (node % 2 = 1) AS b FROM deg) SELECT round(cut * (1 / a + 1 / b), 9) AS objective FROM c, s")
+def bisection_objective(spark, sf_dir):
+    graph = tables.parts_co(spark, sf_dir)
+    return _nine(spectral.bisection_objective(graph, tables.by_modulus(graph, 2)), "objective")
