@@ -1,0 +1,182 @@
+"""The experiment layer: a matrix of jobs, guards, single runs, and tables over finished runs."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkweave.graph import Graph, GraphError
+from sparkweave.operators import girvan_newman, label_propagation, louvain, metrics, partition, spectral, transform
+from sparkweave.operators.result import Result
+from sparkweave.operators.spectral import automatic_basis
+
+ALGORITHMS = {
+    "girvan_newman": (girvan_newman.run, girvan_newman.Config),
+    "spectral": (spectral.run, spectral.Config),
+    "louvain": (louvain.run, louvain.Config),
+    "label_propagation": (label_propagation.run, label_propagation.Config),
+}
+JOB = "job_id string, protocol string, dataset string, scope_id string, n long, m long, sample_profile string, sample_seed long, algorithm string, algorithm_seed long, requested_k long, resolution double, dropout_rate double, dropout_seed long"
+#: What runs have in common in the tables.
+GROUP = ("protocol", "dataset", "scope_id", "algorithm", "requested_k", "resolution")
+
+
+def job_id(parts: tuple) -> str:
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:16]
+
+
+def targets(manifest: dict, protocol: dict) -> list[dict]:
+    """The graphs of a protocol: whole datasets, or the samples of its profile."""
+    found = []
+    for d in manifest["datasets"]:
+        if protocol.get("datasets") and d["name"] not in protocol["datasets"]:
+            continue
+        if protocol.get("scope", "full") == "full":
+            found.append(d | {"dataset": d["name"], "scope_id": "full", "sample_profile": None, "sample_seed": None})
+        else:
+            own = [s for s in d.get("samples", []) if s["profile"] == protocol["sample_profile"]]
+            found += [s | {"dataset": d["name"], "scope_id": f"{s['profile']}-{s['seed']}", "sample_profile": s["profile"], "sample_seed": s["seed"]} for s in own]
+    return found
+
+
+def jobs(spark: SparkSession, config: dict, manifest: dict, most: int | None = None) -> DataFrame:
+    """All combinations of targets, algorithms, K, resolutions, seeds and dropouts of the protocols."""
+    rows = []
+    for p in config["protocols"]:
+        dropouts = [(0.0, 0)]
+        if "dropout" in p:
+            for rate in p["dropout"]["rates"]:
+                if not 0 <= rate < 1:
+                    raise GraphError("the dropout rate must be at least 0 and below 1")
+            dropouts += list(itertools.product([r for r in p["dropout"]["rates"] if r], p["dropout"]["seeds"]))
+        for t, algorithm in itertools.product(targets(manifest, p), p["algorithms"]):
+            settings = config.get("dataset_settings", {}).get(t["dataset"], {}) | p.get("dataset_settings", {}).get(t["dataset"], {})
+            ks = settings.get("k", 0)
+            ks = (ks if isinstance(ks, list) else [ks]) if algorithm in ("spectral", "girvan_newman") else [0]
+            resolutions = p.get("resolutions", [1.0]) if algorithm == "louvain" else [1.0]
+            for k, g, seed, (rate, drop) in itertools.product(ks, resolutions, p["algorithm_seeds"][algorithm], dropouts):
+                if algorithm == "spectral" and not 2 <= k <= t["n"]:
+                    raise GraphError(f"spectral clustering of {t['dataset']} needs K from 2 to n")
+                if seed < 0 or not 0 < g < float("inf"):
+                    raise GraphError("seeds must not be negative and resolutions must be finite and positive")
+                own = (p["name"], t["dataset"], t["scope_id"], t["n"], t["m"], t["sample_profile"], t["sample_seed"], algorithm, seed, k, float(g), float(rate), drop)
+                rows.append((job_id((*own, t.get("sha256", ""))), *own))
+    if not rows or len({r[0] for r in rows}) < len(rows):
+        raise GraphError("there are no jobs, or two are the same")
+    return spark.createDataFrame(rows[:most], JOB)
+
+
+def guard_status(found: DataFrame, guards: dict) -> DataFrame:
+    """Add ``reason``, null for jobs that may run."""
+    basis = F.least("n", F.greatest(F.lit(automatic_basis(0)), 6 * F.col("requested_k") + 32).cast("long"))
+    gn, sp = F.col("algorithm") == "girvan_newman", F.col("algorithm") == "spectral"
+    nodes, edges = guards.get("girvan_newman_max_n", 1000), guards.get("girvan_newman_max_m", 10_000)
+    visits, work = guards.get("spectral_max_edge_visits", 2e9), guards.get("spectral_max_orthogonalization_ops", 5e9)
+    reason = F.when(gn & ((F.col("n") > nodes) | (F.col("m") > edges)), "girvan_newman_size")
+    reason = reason.when(sp & (2.0 * F.col("m") * basis > visits), "spectral_edge_visits").when(sp & (4.0 * F.col("n") * basis * basis > work), "spectral_orthogonalization")
+    return found.withColumn("reason", reason)
+
+
+def resumable(found: DataFrame, index: DataFrame) -> DataFrame:
+    """Jobs that an index of earlier runs doesn't have as finished."""
+    return found.join(index.where("status IN ('ok', 'existing')").select("job_id"), "job_id", "left_anti")
+
+
+def merge_index(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The newer record of each job, in the index's order."""
+    kept = old.join(new.select("job_id"), "job_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    return kept.orderBy("protocol", "dataset", "scope_id", "job_id")
+
+
+def timed(graph: Graph, algorithm: str, config=None) -> Result:
+    """Run, with labels normalized, modularity at resolution 1, and the time of the algorithm alone."""
+    if algorithm not in ALGORITHMS:
+        raise GraphError(f"no such algorithm: {algorithm}")
+    run, kind = ALGORITHMS[algorithm]
+    began = time.perf_counter()
+    result = run(graph, config or kind())
+    result.elapsed_ms = (time.perf_counter() - began) * 1000
+    result.labels = partition.normalize(result.labels)
+    result.modularity = metrics.modularity(graph, result.labels)
+    result.diagnostics["num_communities"] = float(partition.count_communities(result.labels))
+    return result
+
+
+def single_run(graph: Graph, algorithm: str, config=None, dropout: tuple[float, int] = (0.0, 0), reference: DataFrame | None = None, resolution: float = 1.0) -> tuple[Result, dict]:
+    """Perturb, run and score; the result and its summary."""
+    n, removed = graph.num_nodes(), 0
+    if dropout[0] > 0:
+        graph, removed = transform.drop_edges(graph, *dropout)
+    result = timed(graph, algorithm, config)
+    summary = {
+        "schema_version": 1, "status": "ok", "algorithm": algorithm, "n": n, "m": graph.num_edges(), "num_communities": int(result.diagnostics["num_communities"]),
+        "elapsed_ms": result.elapsed_ms, "objective": result.objective, "modularity_q1": result.modularity,
+        "dropout": {"rate": dropout[0], "seed": dropout[1], "removed_edges": removed},
+        "internal": metrics.partition_metrics(graph, result.labels, resolution).first().asDict(recursive=True),
+        "external": metrics.agreement(result.labels, reference).first().asDict() if reference is not None else None, "diagnostics": dict(sorted(result.diagnostics.items())),
+    }
+    return result, summary
+
+
+# tables over runs: (job_id, GROUP..., algorithm_seed, dropout_rate, dropout_seed, metrics...)
+
+
+def same(a: DataFrame, b: DataFrame, keys) -> list:
+    return [a[k].eqNullSafe(b[k]) for k in keys]
+
+
+def stability_pairs(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """ARI of every two runs without dropout that differ in their seed alone; labels: (job_id, node, label)."""
+    calm = runs.where("dropout_rate = 0").select("job_id", *GROUP, "algorithm_seed")
+    left, right = calm.alias("l"), calm.alias("r")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in GROUP] + [F.struct("l.algorithm_seed", "l.job_id") < F.struct("r.algorithm_seed", "r.job_id")]
+    pairs = left.join(right, on).select(F.col("l.job_id").alias("left_job_id"), F.col("r.job_id").alias("right_job_id"), *(F.col(f"l.{k}") for k in GROUP))
+    return pairs.join(ari_of(pairs, labels), ["left_job_id", "right_job_id"])
+
+
+def robustness_pairs(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """ARI of every perturbed run with the run of the same seed and no dropout."""
+    keys = (*GROUP, "algorithm_seed")
+    calm = runs.where("dropout_rate = 0").groupBy(*keys).agg(F.max("job_id").alias("job_id"))
+    shaken = runs.where("dropout_rate > 0").select("job_id", *keys, "dropout_rate", "dropout_seed")
+    left, right = calm.alias("l"), shaken.alias("r")
+    pairs = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    pairs = pairs.select(F.col("l.job_id").alias("left_job_id"), F.col("r.job_id").alias("right_job_id"), *(F.col(f"l.{k}") for k in keys), "dropout_rate", "dropout_seed")
+    return pairs.join(ari_of(pairs, labels), ["left_job_id", "right_job_id"])
+
+
+def ari_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(left_job_id, right_job_id, ari) of pairs of runs, all in one aggregation."""
+    keys = ["left_job_id", "right_job_id"]
+    a = labels.select(F.col("job_id").alias("left_job_id"), "node", F.col("label").alias("p"))
+    b = labels.select(F.col("job_id").alias("right_job_id"), "node", F.col("label").alias("r"))
+    cells = pairs.select(*keys).join(a, "left_job_id").join(b, ["right_job_id", "node"]).groupBy(*keys, "p", "r").agg(F.count(F.lit(1)).alias("n"))
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    joint = cells.groupBy(*keys).agg(two("n").alias("a"), F.sum("n").alias("n"))
+    left = cells.groupBy(*keys, "p").agg(F.sum("n").alias("s")).groupBy(*keys).agg(two("s").alias("pp"))
+    right = cells.groupBy(*keys, "r").agg(F.sum("n").alias("s")).groupBy(*keys).agg(two("s").alias("rr"))
+    total = F.col("n") * (F.col("n") - 1) / 2
+    expected, most = F.col("pp") * F.col("rr") / total, (F.col("pp") + F.col("rr")) / 2
+    ari = F.when(total == 0, 1.0).when(most == expected, F.when((F.col("pp") == F.col("a")) & (F.col("rr") == F.col("a")), 1.0).otherwise(0.0)).otherwise((F.col("a") - expected) / (most - expected))
+    return joint.join(left, keys).join(right, keys).select(*keys, ari.alias("ari"))
+
+
+def distribution_of(value: str) -> list:
+    """count, mean, std (0 of a single value), min, quartiles and max of the finite values."""
+    x = F.when(~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf")), F.col(value).cast("double"))
+    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return [F.count(x).alias("count"), F.avg(x).alias("mean"), F.when(F.count(x) > 1, F.stddev_samp(x)).when(F.count(x) == 1, 0.0).alias("std"), F.min(x).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("max")]
+
+
+def aggregate(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row per group and metric with its distribution; null keys form groups."""
+    long = rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values))))
+    return long.groupBy(*keys, "metric").agg(*distribution_of("value"))
+
+
+def skipped(index: DataFrame) -> DataFrame:
+    return index.where("NOT status IN ('ok', 'existing')")
