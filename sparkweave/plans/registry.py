@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkweave.operators import girvan_newman, label_propagation, louvain, metrics, partition, spectral, transform
+from sparkweave.plans import experiment
 from sparkweave.sources import tables
 
 QUERIES: dict = {}
@@ -221,3 +222,61 @@ def sweep_cut(spark, sf_dir):
 def bisection_objective(spark, sf_dir):
     graph = tables.parts_co(spark, sf_dir)
     return _nine(spectral.bisection_objective(graph, tables.by_modulus(graph, 2)), "objective")
+
+
+# the experiment layer, over runs made of orders: a job is an order, its labels those of its customer's neighbors
+
+RUNS = """runs AS (SELECT 'j' || o_orderkey AS job_id, 'p' AS protocol, o_orderpriority AS dataset, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'full' END AS scope_id, 'louvain' AS algorithm,
+  0::BIGINT AS requested_k, 1.0::DOUBLE AS resolution, (o_orderkey // 2)::BIGINT AS algorithm_seed, CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE 0.05 END::DOUBLE AS dropout_rate, o_orderkey AS dropout_seed, o_totalprice AS score
+  FROM orders WHERE o_orderkey < 120), labels AS (SELECT job_id, n AS node, ((n * 7 + dropout_seed) % 11 // 4)::INT AS label FROM runs, range(40) t(n))"""
+
+
+def _runs(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return tables.read(spark, sf_dir, "orders").where("o_orderkey < 120").select(
+        F.concat(F.lit("j"), key.cast("string")).alias("job_id"), F.lit("p").alias("protocol"), F.col("o_orderpriority").alias("dataset"),
+        F.when(key % 3 != 0, "full").alias("scope_id"), F.lit("louvain").alias("algorithm"), F.lit(0).cast("long").alias("requested_k"), F.lit(1.0).alias("resolution"),
+        F.expr("o_orderkey div 2").alias("algorithm_seed"), F.when(key % 2 == 0, 0.0).otherwise(0.05).alias("dropout_rate"), key.alias("dropout_seed"), F.col("o_totalprice").alias("score"),
+    )
+
+
+def _run_labels(runs):
+    each = runs.select("job_id", "dropout_seed", F.explode(F.sequence(F.lit(0), F.lit(39))).cast("long").alias("node"))
+    return each.select("job_id", "node", F.expr("CAST((node * 7 + dropout_seed) % 11 div 4 AS INT)").alias("label"))
+
+
+_ARI = """, c AS (SELECT left_job_id, right_job_id, a.label AS p, b.label AS r, count(*) AS n FROM pairs JOIN labels a ON a.job_id = left_job_id JOIN labels b ON b.job_id = right_job_id AND a.node = b.node GROUP BY ALL),
+jo AS (SELECT left_job_id, right_job_id, sum(n * (n - 1) / 2) AS a, sum(n) AS n FROM c GROUP BY ALL),
+pl AS (SELECT left_job_id, right_job_id, sum(s * (s - 1) / 2) AS pp FROM (SELECT left_job_id, right_job_id, p, sum(n) AS s FROM c GROUP BY ALL) GROUP BY ALL),
+pr AS (SELECT left_job_id, right_job_id, sum(s * (s - 1) / 2) AS rr FROM (SELECT left_job_id, right_job_id, r, sum(n) AS s FROM c GROUP BY ALL) GROUP BY ALL)
+SELECT pairs.*, round((a - pp * rr / (n * (n - 1) / 2)) / ((pp + rr) / 2 - pp * rr / (n * (n - 1) / 2)), 9) AS ari FROM pairs JOIN jo USING (left_job_id, right_job_id) JOIN pl USING (left_job_id, right_job_id) JOIN pr USING (left_job_id, right_job_id)"""
+_KEYS = "l.protocol, l.dataset, l.scope_id, l.algorithm, l.requested_k, l.resolution"
+_ON = "l.protocol = r.protocol AND l.dataset = r.dataset AND l.scope_id IS NOT DISTINCT FROM r.scope_id AND l.algorithm = r.algorithm AND l.requested_k = r.requested_k AND l.resolution = r.resolution"
+
+
+@query(f"WITH {RUNS}, pairs AS (SELECT l.job_id AS left_job_id, r.job_id AS right_job_id, {_KEYS} FROM runs l JOIN runs r ON {_ON} AND (l.algorithm_seed < r.algorithm_seed OR l.algorithm_seed = r.algorithm_seed AND l.job_id < r.job_id) WHERE l.dropout_rate = 0 AND r.dropout_rate = 0){_ARI}")
+def stability_pairs(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return _nine(experiment.stability_pairs(runs, _run_labels(runs)), "ari")
+
+
+@query(f"WITH {RUNS}, pairs AS (SELECT l.job_id AS left_job_id, r.job_id AS right_job_id, {_KEYS}, l.algorithm_seed, r.dropout_rate, r.dropout_seed FROM runs l JOIN runs r ON {_ON} AND l.algorithm_seed = r.algorithm_seed WHERE l.dropout_rate = 0 AND r.dropout_rate > 0){_ARI}")
+def robustness_pairs(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return _nine(experiment.robustness_pairs(runs, _run_labels(runs)), "ari")
+
+
+@query(f"""WITH {RUNS}, x AS (SELECT protocol, dataset, scope_id, 'score' AS metric, score AS v FROM runs UNION ALL SELECT protocol, dataset, scope_id, 'dropout_rate', dropout_rate FROM runs)
+SELECT protocol, dataset, scope_id, metric, count(v) AS "count", round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS std, round(min(v), 6) AS "min", round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS "max" FROM x GROUP BY 1, 2, 3, 4""")
+def aggregate_runs(spark, sf_dir):
+    rows = experiment.aggregate(_runs(spark, sf_dir), ["protocol", "dataset", "scope_id"], ["score", "dropout_rate"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean", "std", "min", "q1", "median", "q3", "max")})
+
+
+@query("""WITH j AS (SELECT l_orderkey AS n, l_partkey * 4000 AS m, CASE WHEN l_linenumber % 2 = 0 THEN 'spectral' ELSE 'girvan_newman' END AS algorithm, (2 + l_suppkey % 40)::BIGINT AS requested_k FROM lineitem),
+b AS (SELECT *, least(n, greatest(128, 6 * requested_k + 32)) AS basis FROM j)
+SELECT n, m, algorithm, requested_k, CASE WHEN algorithm = 'girvan_newman' AND (n > 1000 OR m > 10000) THEN 'girvan_newman_size' WHEN algorithm = 'spectral' AND 2.0::DOUBLE * m * basis > 2e9 THEN 'spectral_edge_visits' WHEN algorithm = 'spectral' AND 4.0::DOUBLE * n * basis * basis > 5e9 THEN 'spectral_orthogonalization' END AS reason FROM b""")
+def guard_status(spark, sf_dir):
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "spectral").otherwise("girvan_newman")
+    rows = tables.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("n"), (F.col("l_partkey") * 4000).alias("m"), kind.alias("algorithm"), (2 + F.col("l_suppkey") % 40).alias("requested_k"))
+    return experiment.guard_status(rows, {})
