@@ -241,7 +241,7 @@ def _runs(spark, sf_dir):
 
 
 def _run_labels(runs):
-    each = runs.select("job_id", "dropout_seed", F.explode(F.sequence(F.lit(0), F.lit(39))).cast("long").alias("node"))
+    each = runs.select("job_id", "dropout_seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("node"))
     return each.select("job_id", "node", F.expr("CAST((node * 7 + dropout_seed) % 11 div 4 AS INT)").alias("label"))
 
 
