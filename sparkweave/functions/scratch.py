@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
@@ -23,7 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _passing.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What goes to the shared folder in here is removed at the end; nothing read later may rest on it."""
+    made: list[str] = []
+    before = _passing.set(made)
+    try:
+        yield
+    finally:
+        _passing.reset(before)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in map(hadoop, made):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
