@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweave.functions.scratch import scratch, shared_dir, stored
+from sparkweave.functions.scratch import passing, scratch, shared_dir, stored
 
-__all__ = ["SPACE", "SPACE_RUN", "runs", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["SPACE", "SPACE_RUN", "passing", "runs", "scratch", "shared_dir", "stored", "table"]
 
 #: ASCII white space; words are the runs between it.
 SPACE = " \t\n\x0b\x0c\r"

@@ -13,11 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, scratch, stored
+from .common import SPACE_RUN, passing, scratch, stored
+from .places import Values, located
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Groups of at least this share of all rows, and of HOT_LEAST rows, are checked in SALTS parts; they are 1 / HOT_SHARE at most.
 HOT_SHARE, HOT_LEAST, SALTS = 0.002, 1000, 64
+BATCH_BYTES = 256 << 30
 
 
 def normalised(text: Column) -> Column:
@@ -50,63 +52,61 @@ def _state(log: DataFrame, batch_bytes: int) -> DataFrame:
     return stored(found.select("digest", F.col("first")["id"].alias("keep_id"), F.col("first")["locator"].alias("keep_locator"), "n"), "dedup-groups")
 
 
-def _differing(texts: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
-    """Digests in whose group two texts differ, by the bytes of every row of every group of two or more."""
-    shared = groups.where("n > 1").select("digest", "n")
-    hot = F.col("n") >= max(HOT_LEAST, int(rows * HOT_SHARE))
-    salts = shared.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    few = F.broadcast(shared.where(hot).select("digest", F.lit(SALTS).alias("parts")))
-    salted = texts.join(few, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("id", F.length("text")), F.coalesce("parts", F.lit(1))).cast("int"))
+def _differing(docs: DataFrame, file: Column, row: Column, rows: Callable[..., DataFrame], log: DataFrame, groups: DataFrame, count: int) -> DataFrame:
+    """Digests in whose group two texts differ, by the bytes of every row of every group of two or more; only their texts move."""
+    hot = F.col("n") >= max(HOT_LEAST, int(count * HOT_SHARE))
+    salt = F.when(hot, F.pmod(F.xxhash64("locator"), F.lit(SALTS))).otherwise(0).alias("value")
+    shared = Values(log.sparkSession, "dedup-shared").write(stored(log.join(groups.where("n > 1").select("digest", "n"), "digest").select("file", "row", salt), "dedup-spots"))
+    salted = shared.of(file, row)
+    texts = rows(docs.where(salted >= 0), salted.alias("salt"))
     ends = [F.min("text").alias("low"), F.max("text").alias("high")]
-    part = salted.join(salts.select("digest", "salt"), ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(*ends)
+    part = texts.groupBy("digest", "salt").agg(*ends)
     return part.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("digest")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, batch_bytes: int = 256 << 30) -> DataFrame:
-    """One row per document: id, digest, sha, keep_id, group_size, kept.
+def _groups(docs: DataFrame, file: Column, row: Column, id_col: str, text_col: str, digest: Callable[[Column], Column], batch_bytes: int) -> DataFrame:
+    """The rows of groups(), with the columns file and row."""
 
-    Texts are equal when they are identical after each run of ASCII white space became one space; null
-    counts as empty. The row with the least id stays; null ids come last; of rows alike in id and text,
-    one stays. An empty table gives no rows; other columns are dropped whatever their names. Rows move
-    as (locator, id, digest); texts move once, for the check of bytes, large groups in parts.
-    """
-    text = normalised(F.col(text_col))
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    rows = plain.select("id", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha"), "text")
+    def rows(of: DataFrame, *more: Column) -> DataFrame:
+        plain = of.select(*more, F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("text"))
+        return plain.withColumns({"digest": digest(F.col("text")), "sha": sha256(F.col("text"))})
 
     def log_of(r: DataFrame) -> DataFrame:
-        return stored(r.select(F.monotonically_increasing_id().alias("locator"), "id", "digest", "sha"), "dedup-log")
+        return stored(r.select(F.monotonically_increasing_id().alias("locator"), "id", "digest", "sha", "file", "row"), "dedup-log")
 
-    log = log_of(rows)
+    every = rows(docs, file.alias("file"), row.alias("row"))
+    log = log_of(every)
     count = log.count()
     if not count:
-        return log.select("id", "digest", "sha", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+        return log.select("id", "digest", "sha", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "file", "row")
     found = _state(log, batch_bytes)
-    clash = stored(_differing(rows.select("id", "digest", "text"), found, count), "dedup-clash")
+    clash = stored(_differing(docs, file, row, rows, log, found, count), "dedup-clash")
     if not clash.isEmpty():
         known = clash.withColumn("clash", F.lit(True))
-        log = log_of(rows.join(known, "digest", "left").withColumn("digest", F.when(F.col("clash"), F.concat(F.lit("text:"), "text")).otherwise(F.col("digest"))))
+        log = log_of(every.join(known, "digest", "left").withColumn("digest", F.when(F.col("clash"), F.concat(F.lit("text:"), "text")).otherwise(F.col("digest"))))
         found = _state(log, batch_bytes)
     return log.join(found, "digest").select(
-        "id", "digest", "sha", "keep_id", F.col("n").alias("group_size"), (F.col("locator") == F.col("keep_locator")).alias("kept")
+        "id", "digest", "sha", "keep_id", F.col("n").alias("group_size"), (F.col("locator") == F.col("keep_locator")).alias("kept"), "file", "row"
     )
 
 
-def _same(rows: DataFrame, keys: DataFrame, id_col: str) -> Column:
-    return rows[id_col].cast("long").eqNullSafe(keys["_id"]) & (rows["_own_sha"] == keys["_sha"])
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """One row per document: id, digest, sha, keep_id, group_size, kept.
+
+    Texts are equal when they are identical after each run of ASCII white space became one space; null
+    counts as empty. The row with the least id stays; null ids come last; of rows alike in id and text,
+    one stays. An empty table gives no rows; other columns are dropped whatever their names. Rows move
+    as (locator, id, digest); texts of groups move once, for the check of bytes, large groups in parts.
+    """
+    docs, file, row = located(docs)
+    return _groups(docs, file, row, id_col, text_col, digest, batch_bytes).drop("file", "row")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows alike in id and text, one."""
-    found = groups(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), "kept", "group_size")
-    gone = stored(found.where("NOT kept").drop("kept", "group_size"), "dedup-gone")
-    stay = found.where("kept AND group_size > 1").select(F.col("_id").alias("_stay"), "_sha")
-    twice = gone.join(stay, "_sha").where(F.col("_id").eqNullSafe(F.col("_stay"))).select("_id", "_sha").distinct()
-    twice = stored(twice, "dedup-twice")
-    key = docs.withColumn("_own_sha", sha256(normalised(F.col(text_col))))
-    alone = gone.join(twice, gone["_id"].eqNullSafe(twice["_id"]) & (gone["_sha"] == twice["_sha"]), "left_anti")
-    kept = key.join(alone, _same(key, alone, id_col), "left_anti")
-    if not twice.isEmpty():  # rows alike in id and text: all have the id that stays
-        again = key.join(twice, _same(key, twice, id_col), "left_semi").dropDuplicates([id_col, "_own_sha"])
-        kept = kept.join(twice, _same(kept, twice, id_col), "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+    docs, file, row = located(docs)
+    gone = Values(docs.sparkSession, "dedup-gone")
+    with passing(docs.sparkSession):
+        found = _groups(docs, file, row, id_col, text_col, sha256, BATCH_BYTES)
+        gone.write(stored(found.where("NOT kept").select("file", "row", F.lit(0).alias("value")), "dedup-dropped"))
+    return docs.where(gone.of(file, row) < 0)

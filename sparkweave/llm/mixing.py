@@ -14,10 +14,11 @@ from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import passing, stored
+from .places import Values, located
 
 BLOCK = 16  # documents
 PERIOD = 1000  # slots
@@ -99,8 +100,8 @@ def slot(phases: list, block: int) -> int:
     return start + j // len(slots) * length + slots[j % len(slots)]
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", seed: int = 17) -> tuple[DataFrame, dict]:
-    """(id, key, source, block, slot, position) for every row, and the plan of slots.
+def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, also: dict[str, Column] | None = None) -> tuple[DataFrame, dict]:
+    """(id, source, block, slot, position, and the columns ``also``) for every row, and the plan of slots.
 
     Without weights a source's weight is its number of rows to the power TEMPERATURE. Rows of a source come
     in the order of a hash of the id (then the id; of rows alike, any order); ``block`` rows form a block and
@@ -108,7 +109,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, p
     rows count each, an empty table gives none. A source without a weight raises ValueError, and so do
     more than MOST_SOURCES sources, whose tables would no longer be small.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), *(c.alias(n) for n, c in (also or {}).items()))
     keyed = keyed.withColumn("order", F.xxhash64("id", F.lit(seed)))
     buckets = keyed.withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 20), F.lit(BUCKETS)))
     sizes = buckets.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -148,9 +149,9 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, p
 
     from pyspark.sql import Window
 
-    within = Window.partitionBy("source", "bucket").orderBy("order", "id")
+    within = Window.partitionBy("source", "bucket").orderBy("order", "id", *(also or {}))
     ranked = buckets.withColumn("rank", F.row_number().over(within))
-    return ranked.withColumn("at", placed("source", "bucket", "rank")).select("id", "source", "at.block", "at.slot", "at.position"), phases
+    return ranked.withColumn("at", placed("source", "bucket", "rank")).select("id", "source", "at.block", "at.slot", "at.position", *(also or {})), phases
 
 
 def mix(docs: DataFrame, weights: dict | None = None, **settings) -> DataFrame:
@@ -160,10 +161,11 @@ def mix(docs: DataFrame, weights: dict | None = None, **settings) -> DataFrame:
 
 
 def in_order(docs: DataFrame, weights: dict | None = None, **settings) -> DataFrame:
-    """The documents, with all their columns, sorted into the order of the mixture."""
-    id_col = settings.get("id_col", "doc_id")
-    places, _ = schedule(docs, weights, **settings)
-    # rows alike in id share a place's block: one place an id is enough to sort by
-    places = stored(places.groupBy("id").agg(F.min(F.struct("slot", "position")).alias("at")).select(F.col("id").alias("_id"), F.col("at.slot").alias("_slot"), F.col("at.position").alias("_position")), "mixing-places")
-    joined = docs.join(places, docs[id_col].eqNullSafe(places["_id"]), "left")
-    return joined.orderBy("_slot", "_position").select(*docs.columns)
+    """The documents, with all their columns, sorted into the order of the mixture; texts move once, for the sort."""
+    docs, file, row = located(docs)
+    spots = Values(docs.sparkSession, "mixing-places")
+    with passing(docs.sparkSession):
+        places, _ = schedule(docs, weights, **settings, also={"file": file, "row": row})
+        value = F.col("slot") * settings.get("block", BLOCK) + F.col("position")
+        spots.write(stored(places.select("file", "row", value.alias("value")), "mixing-slots"))
+    return docs.orderBy(spots.of(file, row))

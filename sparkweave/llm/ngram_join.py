@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from sparkweave.operators.components import stars
 
-from .common import runs, stored
+from .common import passing, runs, stored
+from .places import Values, located
 
 U = np.uint64
 
@@ -109,8 +110,8 @@ def _signatures(config: Config):
                 keys.append(_mixed(band + np.arange(config.bands, dtype=np.uint64)).view(np.int64))
                 values.append((low & U(0xFFFF)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("mark"), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.binary())],
-                ["id", "mark", "cls", "keys", "vals"],
+                [batch.column("id"), batch.column("file"), batch.column("row"), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.binary())],
+                ["id", "file", "row", "cls", "keys", "vals"],
             )
 
     return rows
@@ -237,12 +238,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config
     whatever their names. A pair at the threshold misses all buckets with a chance of 5e-5 and a true
     pair is pruned with about the tolerance; both fall fast above it.
     """
-    c = config or Config()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("data"))
-    signed = stored(plain.mapInArrow(_signatures(c), "id long, mark long, cls binary, keys array<long>, vals binary"), "ngram-signatures")
-    ranked = F.struct(F.col("id").isNull(), F.col("id"), F.col("mark"))
-    classes = signed.groupBy("cls").agg(F.min_by(F.struct("id", "mark", "keys", "vals"), ranked).alias("own"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    docs, file, row = located(docs)
+    return _join(docs, file, row, id_col, text_col, config or Config()).select(F.col("id").alias(id_col), "class_id", "n_links", "n_text_links", "copies")
+
+
+def _join(docs: DataFrame, file: Column, row: Column, id_col: str, text_col: str, c: Config) -> DataFrame:
+    """The rows of join(), with file and row and those of the class's first document."""
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), file.alias("file"), row.alias("row"), data)
+    signed = stored(plain.mapInArrow(_signatures(c), "id long, file long, row long, cls binary, keys array<long>, vals binary"), "ngram-signatures")
+    ranked = F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")
+    classes = signed.groupBy("cls").agg(F.min_by(F.struct("file", "row", "keys", "vals"), ranked).alias("own"), F.count(F.lit(1)).alias("copies"), F.min(ranked).alias("least"))
     classes = stored(classes.select("cls", "own.*", "copies", "least"), "ngram-classes")
     met = stored(classes.select(F.explode("keys").alias("key"), "cls"), "ngram-bands")
     # a bucket with the same members as another one adds nothing
@@ -253,26 +259,29 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config
     near = stars(candidates.select("key", "i", "j", "block", "cls", "vals").mapInArrow(_linked(c), "u binary, v binary"))
     near = near.withColumnsRenamed({"node": "cls", "component": "comp"})
     sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    members = near.join(sizes, "comp").join(classes, "cls").select("cls", "comp", "size", "copies", "id", "mark")
-    # the text of a class is that of its first document; repeated rows give it more than once
-    found = members.join(plain, members["id"].eqNullSafe(plain["id"]) & (members["mark"] == plain["mark"]))
-    found = found.select("comp", "cls", "size", "copies", "data")
+    # the text of a class is that of its first document; no other texts move
+    members = stored(near.join(sizes, "comp").join(classes, "cls").select("cls", "comp", "size", "copies", "file", "row"), "ngram-members")
+    wanted = Values(docs.sparkSession, "ngram-wanted").write(members.select("file", "row", F.lit(0).alias("value")))
+    texts = docs.where(wanted.of(file, row) >= 0).select(file.alias("file"), row.alias("row"), data)
+    found = members.join(texts, ["file", "row"]).select("comp", "cls", "size", "copies", "data")
     checked = _dealt(found, "comp", F.col("size"), c.block).select("comp", "i", "j", "block", "cls", "copies", "data")
     checked = stored(checked.mapInArrow(_verified(c), "cls binary, root binary, texts long, docs long"), "ngram-verified")
     linked = stars(checked.select(F.col("cls").alias("u"), F.col("root").alias("v"))).withColumnsRenamed({"node": "cls", "component": "root"})
     counts = checked.groupBy("cls").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     whole = classes.select("cls", "copies", "least").join(linked, "cls", "left").join(counts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    leasts = whole.groupBy("root").agg(F.min("least").alias("class_id"))
+    leasts = whole.groupBy("root").agg(F.min("least").alias("first"))
     told = whole.join(leasts, "root").select(
-        "cls", "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "cls", F.col("first")["id"].alias("class_id"), F.col("first")["file"].alias("first_file"), F.col("first")["row"].alias("first_row"), "copies", F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return signed.select("id", "cls").join(told, "cls").select(F.col("id").alias(id_col), "class_id", "n_links", "n_text_links", "copies")
+    return signed.select("id", "file", "row", "cls").join(told, "cls").drop("cls")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config | None = None) -> DataFrame:
     """Of each group that links connect the row with the least id, with all its columns; of rows with that id one."""
-    found = join(docs, id_col, text_col, config)
-    gone = stored(found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone")).distinct(), "ngram-gone")
-    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
-    twice = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(id_col).count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates([id_col])
+    docs, file, row = located(docs)
+    gone = Values(docs.sparkSession, "ngram-gone")
+    with passing(docs.sparkSession):
+        found = _join(docs, file, row, id_col, text_col, config or Config())
+        dropped = found.where("file <> first_file OR row <> first_row").select("file", "row", F.lit(0).alias("value"))
+        gone.write(stored(dropped, "ngram-dropped"))
+    return docs.where(gone.of(file, row) < 0)
