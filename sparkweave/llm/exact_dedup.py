@@ -20,6 +20,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Groups of at least this share of all rows, and of HOT_LEAST rows, are checked in SALTS parts; they are 1 / HOT_SHARE at most.
 HOT_SHARE, HOT_LEAST, SALTS = 0.002, 1000, 64
 BATCH_BYTES = 256 << 30
+#: Native memory of the state on one executor, all its partitions together.
+STATE_MB = 256
 
 
 def normalised(text: Column) -> Column:
@@ -38,6 +40,10 @@ def _state(log: DataFrame, batch_bytes: int) -> DataFrame:
     # state files take the room of what is in them, not a reserve for each of many partitions
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # a partition's state is on disk between batches, so executors hold no native memory for those that aren't worked on
+    spark.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STATE_MB))
     kept = scratch(spark, "dedup-state")
     path = log.inputFiles()[0].rsplit("/", 1)[0]
     # nulls last, then the least id, then the row's place in the log

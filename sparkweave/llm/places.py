@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,8 +54,8 @@ class Values:
         """The row's value, or -1."""
         path = self.path
 
-        @F.pandas_udf("long")
-        def values(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf("long")
+        def values(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             store, at = pyarrow.fs.FileSystem.from_uri(path)
             known, rows, told = None, None, None
             for bucket, files, numbers in batches:
@@ -79,6 +79,6 @@ class Values:
                     if len(rows):
                         spot = np.minimum(np.searchsorted(rows, numbers[begin:end]), len(rows) - 1)
                         out[begin:end] = np.where(rows[spot] == numbers[begin:end], told[spot], -1)
-                yield pd.Series(out)
+                yield pa.array(out)
 
         return values(self._bucket(file, row), file, row)
