@@ -191,7 +191,7 @@ def spectral_k(spark, sf_dir):
 
 @query()
 def lpa_async(spark, sf_dir):
-    return label_propagation.run(tables.planted(spark, sf_dir, groups=10)).labels
+    return label_propagation.run(tables.planted(spark, sf_dir)).labels
 
 
 @query("""WITH RECURSIVE v AS (SELECT c_custkey AS node FROM customer WHERE c_custkey < 50),
@@ -207,6 +207,25 @@ def edge_betweenness(spark, sf_dir):
     return _nine(girvan_newman.betweenness(tables.planted(spark, sf_dir, groups=5)), "score")
 
 
+# the same over all customers; SQL is too slow or has no unique answer, so tests/test_registry.py compares with brute force
+
+
+@query()
+def girvan_newman_whole(spark, sf_dir):
+    """Above the guard of 1,000 nodes this raises GraphError."""
+    return girvan_newman.run(tables.planted(spark, sf_dir), girvan_newman.Config(target_communities=10)).labels
+
+
+@query()
+def spectral_whole(spark, sf_dir):
+    return spectral.run(tables.planted(spark, sf_dir), spectral.Config(num_communities=10, kmeans_restarts=20)).labels
+
+
+@query()
+def edge_betweenness_whole(spark, sf_dir):
+    return _nine(girvan_newman.betweenness(tables.planted(spark, sf_dir)), "score")
+
+
 @query(f"""WITH {RING}, deg AS (SELECT src AS node, sum(weight) AS degree FROM adj GROUP BY 1), pos AS (SELECT node, row_number() OVER (ORDER BY node) AS position, degree FROM deg),
 st AS (SELECT least(a.position, b.position) AS position, weight AS step FROM e JOIN pos a ON a.node = e.u JOIN pos b ON b.node = e.v UNION ALL SELECT greatest(a.position, b.position), -weight FROM e JOIN pos a ON a.node = e.u JOIN pos b ON b.node = e.v),
 s AS (SELECT position, degree, coalesce((SELECT sum(step) FROM st WHERE st.position = pos.position), 0) AS step FROM pos),
@@ -231,9 +250,10 @@ RUNS = """runs AS (SELECT 'j' || o_orderkey AS job_id, 'p' AS protocol, o_orderp
   FROM orders WHERE o_orderkey < 120), labels AS (SELECT job_id, n AS node, ((n * 7 + dropout_seed) % 11 // 4)::INT AS label FROM runs, range(40) t(n))"""
 
 
-def _runs(spark, sf_dir):
+def _runs(spark, sf_dir, most: int | None = 120):
     key = F.col("o_orderkey")
-    return tables.read(spark, sf_dir, "orders").where("o_orderkey < 120").select(
+    orders = tables.read(spark, sf_dir, "orders")
+    return (orders if most is None else orders.where(key < most)).select(
         F.concat(F.lit("j"), key.cast("string")).alias("job_id"), F.lit("p").alias("protocol"), F.col("o_orderpriority").alias("dataset"),
         F.when(key % 3 != 0, "full").alias("scope_id"), F.lit("louvain").alias("algorithm"), F.lit(0).cast("long").alias("requested_k"), F.lit(1.0).alias("resolution"),
         F.expr("o_orderkey div 2").alias("algorithm_seed"), F.when(key % 2 == 0, 0.0).otherwise(0.05).alias("dropout_rate"), key.alias("dropout_seed"), F.col("o_totalprice").alias("score"),
@@ -254,6 +274,9 @@ _KEYS = "l.protocol, l.dataset, l.scope_id, l.algorithm, l.requested_k, l.resolu
 _ON = "l.protocol = r.protocol AND l.dataset = r.dataset AND l.scope_id IS NOT DISTINCT FROM r.scope_id AND l.algorithm = r.algorithm AND l.requested_k = r.requested_k AND l.resolution = r.resolution"
 
 
+ALL_RUNS = RUNS.replace(" WHERE o_orderkey < 120", "")
+
+
 @query(f"WITH {RUNS}, pairs AS (SELECT l.job_id AS left_job_id, r.job_id AS right_job_id, {_KEYS} FROM runs l JOIN runs r ON {_ON} AND (l.algorithm_seed < r.algorithm_seed OR l.algorithm_seed = r.algorithm_seed AND l.job_id < r.job_id) WHERE l.dropout_rate = 0 AND r.dropout_rate = 0){_ARI}")
 def stability_pairs(spark, sf_dir):
     runs = _runs(spark, sf_dir)
@@ -273,6 +296,25 @@ def aggregate_runs(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in ("mean", "std", "min", "q1", "median", "q3", "max")})
 
 
+@query()
+def stability_pairs_whole(spark, sf_dir):
+    runs = _runs(spark, sf_dir, None)
+    return _nine(experiment.stability_pairs(runs, _run_labels(runs)), "ari")
+
+
+@query(f"WITH {ALL_RUNS}, pairs AS (SELECT l.job_id AS left_job_id, r.job_id AS right_job_id, {_KEYS}, l.algorithm_seed, r.dropout_rate, r.dropout_seed FROM runs l JOIN runs r ON {_ON} AND l.algorithm_seed = r.algorithm_seed WHERE l.dropout_rate = 0 AND r.dropout_rate > 0){_ARI}")
+def robustness_pairs_whole(spark, sf_dir):
+    runs = _runs(spark, sf_dir, None)
+    return _nine(experiment.robustness_pairs(runs, _run_labels(runs)), "ari")
+
+
+@query(f"""WITH {ALL_RUNS}, x AS (SELECT protocol, dataset, scope_id, 'score' AS metric, score AS v FROM runs UNION ALL SELECT protocol, dataset, scope_id, 'dropout_rate', dropout_rate FROM runs)
+SELECT protocol, dataset, scope_id, metric, count(v) AS "count", round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS std, round(min(v), 6) AS "min", round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS "max" FROM x GROUP BY 1, 2, 3, 4""")
+def aggregate_runs_whole(spark, sf_dir):
+    rows = experiment.aggregate(_runs(spark, sf_dir, None), ["protocol", "dataset", "scope_id"], ["score", "dropout_rate"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean", "std", "min", "q1", "median", "q3", "max")})
+
+
 @query("""WITH j AS (SELECT l_orderkey AS n, l_partkey * 4000 AS m, CASE WHEN l_linenumber % 2 = 0 THEN 'spectral' ELSE 'girvan_newman' END AS algorithm, (2 + l_suppkey % 40)::BIGINT AS requested_k FROM lineitem),
 b AS (SELECT *, least(n, greatest(128, 6 * requested_k + 32)) AS basis FROM j)
 SELECT n, m, algorithm, requested_k, CASE WHEN algorithm = 'girvan_newman' AND (n > 1000 OR m > 10000) THEN 'girvan_newman_size' WHEN algorithm = 'spectral' AND 2.0::DOUBLE * m * basis > 2e9 THEN 'spectral_edge_visits' WHEN algorithm = 'spectral' AND 4.0::DOUBLE * n * basis * basis > 5e9 THEN 'spectral_orthogonalization' END AS reason FROM b""")
