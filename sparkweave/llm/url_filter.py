@@ -2,7 +2,8 @@
 
 URLs that a rule allows or blocks train two variable-order Markov models. A URL that no rule fits is
 judged by the difference of its log-likelihoods under them, divided by its length, against a threshold
-calibrated on rule-judged URLs that the models haven't seen.
+calibrated on rule-judged URLs that the models haven't seen. All n-grams are kept, as a table; the values of
+those that a block of URLs has are joined to the block.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # The rules, as verdict, host and path.
 RULES = (
     ("allow", "com", "/"),
@@ -28,8 +31,8 @@ RULES = (
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._/?=&%:#~"
 DEPTH = 5  # characters in the longest n-gram
 DISCOUNT = 0.75
-#: n-grams that a model may have: the bound of what goes to the driver and to every task.
-MOST_GRAMS = 300_000
+#: URLs that are scored together, as a power of two; a common n-gram has one row for each such block.
+BLOCK_BITS = 11
 BINS, BIN_WIDTH = 801, 0.02
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,7 +71,7 @@ def grams(text: str) -> Iterator[str]:
 
 @dataclass
 class Model:
-    """Absolute discounting from the longest context that was kept down to a uniform guess."""
+    """Absolute discounting from the longest known context down to a uniform guess; ``values`` does it for tables."""
 
     counts: dict[str, int]
 
@@ -90,26 +93,6 @@ class Model:
         return p
 
 
-@dataclass
-class Ratio:
-    accepted: Model
-    rejected: Model
-
-    def score(self, url: str | None, seen: dict[str, float]) -> float:
-        """Mean over the characters of the difference of log chances; 0 at no difference."""
-        text = letters(url)
-        total = 0.0
-        for end in range(2, len(text) + 1):
-            gram = text[max(0, end - DEPTH) : end]
-            value = seen.get(gram)
-            if value is None:
-                value = log(self.accepted.chance(gram[:-1], gram[-1])) - log(self.rejected.chance(gram[:-1], gram[-1]))
-                if len(seen) < 1 << 20:
-                    seen[gram] = value
-            total += value
-        return total / (len(text) - 1)
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
@@ -127,42 +110,66 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def train(judged: DataFrame, most_grams: int = MOST_GRAMS) -> tuple[Ratio, float] | None:
-    """Models and threshold from (id, url, good); None unless both verdicts occur.
+def needed(text: str) -> list[str]:
+    """The n-gram of every character after the start with its longest context."""
+    return [text[max(0, end - DEPTH) : end] for end in range(2, len(text) + 1)]
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each block, once for each batch that has a part of it."""
+    for batch in batches:
+        found: dict[int, set[str]] = defaultdict(set)
+        for block, url in zip(batch.column("block").to_pylist(), batch.column("url").to_pylist(), strict=True):
+            found[block].update(needed(letters(url)))
+        for block, own in found.items():
+            yield pa.RecordBatch.from_pydict({"block": [block] * len(own), "gram": list(own)})
+
+
+def values(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, value): the difference of the log chances of the last character; counts: (gram, good, bad).
 
-    Four fifths by a hash of the URL train, the rest calibrate. A model keeps the n-grams with the support
-    that lets it have at most ``most_grams``, doubling it as the corpus grows; shorter contexts then
-    stand in, which is how the order varies.
+    Chances go from each n-gram's last character up to the whole, a join for each length. An n-gram has
+    as many that are longer by one character as there are letters, so no join is skewed.
     """
-    fold = F.pmod(F.xxhash64("url"), F.lit(5))
-    rows = judged.select("good", "url", (fold == 0).alias("held"))
-    counts = rows.where("NOT held").select("good", "url").mapInArrow(_counted, "good boolean, gram string, n long").groupBy("good", "gram").agg(F.sum("n").alias("n")).persist()
-    support = {True: 1, False: 1}
-    # how many n-grams would stay at each doubling of the support
-    sizes = {(r.good, r.power): r.grams for r in counts.groupBy("good", F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("grams")).collect()}
-    for good in support:
-        while sum(c for (g, p), c in sizes.items() if g == good and 2**p >= support[good]) > most_grams:
-            support[good] *= 2
-    kept = counts.where(F.when(F.col("good"), F.col("n") >= support[True]).otherwise(F.col("n") >= support[False])).collect()
-    counts.unpersist()
-    models = [Model({r.gram: r.n for r in kept if r.good is good}) for good in (True, False)]
-    if not all(m.counts for m in models):
-        return None
-    ratio = Ratio(*models)
-
-    def binned(batches):
-        seen: dict[str, float] = {}
-        for batch in batches:
-            found = Counter(
-                (good, int(np.clip(round(ratio.score(url, seen) / BIN_WIDTH) + BINS // 2, 0, BINS - 1)))
-                for good, url in zip(batch.column("good").to_pylist(), batch.column("url").to_pylist(), strict=True)
-            )
-            yield pa.RecordBatch.from_pydict({"good": [k[0] for k in found], "bin": pa.array([k[1] for k in found], pa.int32()), "n": list(found.values())})
-
-    held = np.zeros((2, BINS))
-    for r in rows.where("held").select("good", "url").mapInArrow(binned, "good boolean, bin int, n long").groupBy("good", "bin").agg(F.sum("n").alias("n")).collect():
-        held[int(r.good), r.bin] = r.n
-    return ratio, calibrated(held)
+    size = F.length("gram")
+    ends = F.expr("explode(transform(sequence(1, length(gram)), k -> substring(gram, length(gram) - k + 1, k)))")
+    ends = wanted.select(ends.alias("gram")).distinct().withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
+    sums = [f(c).alias(f"{c}_{name}") for c in ("good", "bad") for name, f in (("total", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0)))]
+    contexts = counts.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).agg(*sums)
+    known = stored(ends.join(counts, "gram", "left").join(contexts, "context", "left").drop("context"), "url-chances")
+
+    def chance(c: str, shorter: Column) -> Column:
+        n = F.col(f"{c}_total")
+        own = F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0)) - DISCOUNT) / n + DISCOUNT * F.col(f"{c}_kinds") / n * shorter
+        return F.when(n > 0, own).otherwise(shorter)
+
+    levels = []
+    for length in range(1, DEPTH + 1):
+        own = known.where(size == length).withColumn("end", F.expr("substring(gram, 2)"))
+        if levels:
+            own = own.join(levels[-1].select(F.col("gram").alias("end"), F.col("p_good").alias("q_good"), F.col("p_bad").alias("q_bad")), "end")
+        else:
+            own = own.withColumns(dict.fromkeys(("q_good", "q_bad"), F.lit(1 / (len(ALPHABET) + 1))))
+        levels.append(stored(own.select("gram", chance("good", F.col("q_good")).alias("p_good"), chance("bad", F.col("q_bad")).alias("p_bad")), "url-level"))
+    return reduce(DataFrame.unionByName, levels).select("gram", (F.log("p_good") - F.log("p_bad")).alias("value"))
+
+
+def scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows, which have a block and a url, with their score for the url: the mean over its characters."""
+    asked = stored(urls.select("block", "url").mapInArrow(_asked, "block long, gram string"), "url-asked")
+    told = asked.join(values(counts, asked.select("gram").distinct()), "gram")
+    names = [c for c in urls.columns if c not in ("block", "url")]
+
+    def block(own: pa.Table, grams: pa.Table) -> pa.Table:
+        value = dict(zip(grams.column("gram").to_pylist(), grams.column("value").to_pylist(), strict=True))
+        found = []
+        for url in own.column("url").to_pylist():
+            each = needed(letters(url))
+            found.append(sum(map(value.__getitem__, each)) / len(each))
+        return own.select(names).append_column("score", pa.array(found, pa.float64()))
+
+    fields = ", ".join(f"{c} {urls.schema[c].dataType.simpleString()}" for c in names) + ", score double"
+    return urls.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(block, fields)
 
 
 def calibrated(held: np.ndarray) -> float:
@@ -185,24 +192,26 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parsed.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    trained = train(ruled.where("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("good")))
-    if trained is None:
-        scored = ruled.withColumn("score", F.lit(None).cast("double"))
+    # four fifths of the URLs that a rule judged train, by a hash, and the rest calibrate
+    held = verdict.isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(5)) == 0)
+    number = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    ruled = stored(parsed.select("*", rule.alias("rule"), verdict.alias("ruled"), held.alias("held"), number.alias("block")), "url-ruled")
+    train = ruled.where("ruled IS NOT NULL AND NOT held").select((F.col("ruled") == "allow").alias("good"), "url")
+    n = lambda good: F.sum(F.when(F.col("good") == good, F.col("n")).otherwise(0))
+    counts = stored(train.mapInArrow(_counted, "good boolean, gram string, n long").groupBy("gram").agg(n(True).alias("good"), n(False).alias("bad")), "url-grams")
+    plain = ruled.where("ruled IS NOT NULL").drop("url", "block", "held").withColumn("score", F.lit(None).cast("double"))
+    most = counts.agg(F.max("good"), F.max("bad")).first()
+    if not all(most):
+        rest = ruled.where("ruled IS NULL").drop("url", "block", "held").withColumn("score", F.lit(None).cast("double"))
         said = F.lit("allow")
     else:
-        ratio, threshold = trained
-
-        def rows(batches):
-            seen: dict[str, float] = {}
-            for batch in batches:
-                found = [ratio.score(u, seen) for u in batch.column("url").to_pylist()]
-                columns = [batch.column(n) for n in ("id", "host", "path", "rule", "ruled")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], ["id", "host", "path", "rule", "ruled", "score"])
-
-        fields = f"id {ruled.schema['id'].dataType.simpleString()}, host string, path string, rule string, ruled string, score double"
-        rest = ruled.where("ruled IS NULL").mapInArrow(rows, fields)
-        scored = ruled.where("ruled IS NOT NULL").drop("url").withColumn("score", F.lit(None).cast("double")).unionByName(rest)
-        said = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+        found = stored(scores(ruled.where("ruled IS NULL OR held"), counts), "url-scores")
+        place = F.least(F.greatest(F.bround(F.col("score") / BIN_WIDTH) + BINS // 2, F.lit(0)), F.lit(BINS - 1)).cast("int")
+        bins = np.zeros((2, BINS))
+        for r in found.where("held").groupBy((F.col("ruled") == "allow").alias("good"), place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():
+            bins[int(r.good), r.bin] = r.n
+        rest = found.where("ruled IS NULL").drop("held")
+        said = F.when(F.col("score") >= calibrated(bins), "allow").otherwise("block")
+    scored = plain.unionByName(rest)
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", said).alias("verdict"), "score")
 

@@ -32,3 +32,18 @@ def test_learns_the_difference(spark):
     assert all(got[i] == "allow" for i in range(300)) and all(got[i] == "block" for i in range(300, 600))
     right = sum(got[i] == ("allow" if i < 700 else "block") for i in range(600, 800))
     assert right >= 190
+
+
+def test_all_grams_count(spark):
+    rng = random.Random(2)
+    some = lambda k: "".join(rng.choices(url_filter.ALPHABET[:36], k=k))
+    train = [(f"http://{some(3)}.com/{some(60)}", True) for _ in range(7000)] + [(f"http://{some(3)}.net/es/{some(60)}", False) for _ in range(7000)]
+    rest = [f"http://{some(3)}.org/{some(60)}" for _ in range(500)] + [None, ""]
+    docs = spark.createDataFrame([(i, u) for i, u in enumerate([u for u, _ in train] + rest)], "page_id long, url string")
+    folds = {r.url: r.fold for r in docs.selectExpr("url", "pmod(xxhash64(url), 5) AS fold").collect()}
+    models = [url_filter.Model(url_filter.Counter(g for u, w in train if w is good and folds[u] for g in url_filter.grams(url_filter.letters(u)))) for good in (True, False)]
+    assert all(len(m.counts) > 300_000 for m in models)
+    got = {r.page_id: r.score for r in url_filter.judge(docs).collect()}
+    for i, u in enumerate(rest, len(train)):
+        a, b = (sum(math.log(m.chance(g[:-1], g[-1])) for g in url_filter.needed(url_filter.letters(u))) for m in models)
+        assert math.isclose(got[i], (a - b) / (len(url_filter.letters(u)) - 1), abs_tol=1e-9)
