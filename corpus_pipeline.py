@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweave.llm import exact_dedup, mixing, ngram_join, packing, quality_model
+from sparkweave.llm import exact_dedup, mixing, ngram_join, packing, places, quality_model
 from sparkweave.llm.common import stored, table
 
 #: The stages learn and hash; SQL can't express them. tests/llm/test_pipeline.py compares with brute force.
@@ -33,7 +33,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(docs)
+    docs, number = places.numbered(docs)
+    return packing.best_fit(docs, order=number)
 
 
 STAGES = [

@@ -3,7 +3,7 @@
 Documents go into bins of a fixed number of tokens. Open bins stand in the order of what is left in
 them and carry bitmaps of the sources and duplicate clusters inside; from the tightest bin that would
 hold a document the search goes on to the next until one has neither in its bitmaps. Shards of a bounded
-number of documents, dealt by a hash, are packed each on its own.
+number of documents, dealt by a hash or as runs of a given order, are packed each on its own.
 """
 
 from __future__ import annotations
@@ -79,7 +79,13 @@ def _packed(capacity: int):
         rows = {c: table.column(c).to_pylist() for c in ("locator", "id", "size", "source", "lane", "cluster")}
         place = {locator: i for i, locator in enumerate(rows["locator"])}
         items = list(zip(rows["locator"], rows["size"], zip(rows["source"], rows["lane"], strict=True), rows["cluster"], strict=True))
-        found = [(rows["id"][place[k]], piece, (number << 32) + b, at, size) for k, piece, b, at, size in pack(items, capacity)]
+        packed = pack(items, capacity)
+        # bins are numbered by the first of their documents
+        first: dict[int, int] = {}
+        for k, _, b, _, _ in packed:
+            first[b] = min(first.get(b, k), k)
+        turn = {b: i for i, b in enumerate(sorted(first, key=lambda b: (first[b], b)))}
+        found = [(rows["id"][place[k]], piece, (number << 32) + turn[b], at, size) for k, piece, b, at, size in packed]
         names = ["id", "piece", "bin_id", "bin_offset", "n_tokens"]
         return pa.table([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names)
 
@@ -87,7 +93,7 @@ def _packed(capacity: int):
 
 
 def best_fit(
-    docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, shard_rows: int = SHARD_ROWS
+    docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, shard_rows: int = SHARD_ROWS, order: Column | None = None
 ) -> DataFrame:
     """One row per piece of a document: id, piece, bin_id, bin_offset, n_tokens.
 
@@ -97,10 +103,12 @@ def best_fit(
     separator long; a null source is a source; null ids pass through; repeated rows are packed each, in
     different bins; longer texts than a bin are cut into pieces and kept whole; an empty table gives
     none; other columns are dropped whatever their names.
+
+    With ``order``, numbers from 0 up without gaps, a shard is a run of it and bins are numbered along it.
     """
     own = cluster if cluster is not None else F.xxhash64(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN, " "))
-    items = docs.select(F.col(id_col).cast("long").alias("id"), n_tokens(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), own.alias("cluster"))
-    items = stored(items.withColumn("locator", F.monotonically_increasing_id()), "packing-items")
+    items = docs.select(F.col(id_col).cast("long").alias("id"), n_tokens(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), own.alias("cluster"), (F.monotonically_increasing_id() if order is None else order).alias("locator"))
+    items = stored(items, "packing-items")
     n, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     per_bin = max(1.0, capacity / max(1.0, total / max(1, n)))
     share = F.sum("size") / F.lit(max(1, total))
@@ -109,6 +117,7 @@ def best_fit(
     laned = items.join(F.broadcast(lanes), F.col("source").eqNullSafe(F.col("wide")), "left")
     lane = F.pmod(F.xxhash64("locator", F.lit("lane")), F.coalesce("lanes", F.lit(1))).cast("int")
     shards = max(1, -(-n // shard_rows))
-    dealt = laned.select("locator", "id", "size", "source", lane.alias("lane"), "cluster", F.pmod(F.xxhash64("locator", F.lit("shard")), F.lit(shards)).alias("shard"))
+    shard = F.pmod(F.xxhash64("locator", F.lit("shard")), F.lit(shards)) if order is None else F.floor(F.col("locator") / shard_rows)
+    dealt = laned.select("locator", "id", "size", "source", lane.alias("lane"), "cluster", shard.alias("shard"))
     packed = dealt.groupBy("shard").applyInArrow(_packed(capacity), "id long, piece long, bin_id long, bin_offset long, n_tokens long")
     return packed.withColumnRenamed("id", id_col)

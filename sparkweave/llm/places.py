@@ -33,6 +33,26 @@ def located(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
     raise ValueError("rows of stored tables must have numbers")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """The table and the number of each row in the order in which it was written: by file name and row."""
+    for table in (docs, None):
+        table = table if table is not None else stored(docs, "numbered")
+        if table._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+            told = table.metadataColumn("_metadata")
+            if "row_index" in table.select(told).schema[0].dataType.names:
+                break
+    else:
+        raise ValueError("rows of stored tables must have numbers")
+    name = told["file_path"]
+    sizes = table.select(name.alias("file")).groupBy("file").count().orderBy("file").collect()
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["file"], at))
+        at += r["count"]
+    begun = F.create_map(*(F.lit(x) for pair in starts for x in pair)) if starts else F.create_map(F.lit(""), F.lit(0))
+    return table, begun[name].cast("long") + told["row_index"]
+
+
 class Values:
     """A value of 0 or more for some rows of a table."""
 

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from sparkweave.llm import quality_model
+from sparkweave.llm import mixing, packing, places, quality_model
 from test_ngram_join import brute
 
 
@@ -27,3 +27,23 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_bins_follow_the_mixture(spark, tmp_path):
+    rows = [(i, "w " * (20 + i * 7 % 60), "a" if i % 10 else "b") for i in range(20_000)]
+    mixed = str(tmp_path / "mixed")
+    mixing.in_order(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 1, "b": 1}).write.parquet(mixed)
+    source = {i: s for i, _, s in rows}
+    docs, number = places.numbered(spark.read.parquet(mixed))
+    ordered = [r.doc_id for r in docs.select("doc_id", number.alias("at")).orderBy("at").collect()]
+    for packed in (packing.best_fit(docs, capacity=128, shard_rows=500, order=number), corpus_pipeline.packed(spark, spark.read.parquet(mixed), "")):
+        got = packed.collect()
+        assert sorted({r.doc_id for r in got}) == list(range(20_000))
+        shards = {}
+        for r in got:
+            shards.setdefault(r.bin_id >> 32, set()).add(r.doc_id)
+        size = 500 if len(shards) > 3 else packing.SHARD_ROWS
+        assert all(shards[k] == set(ordered[k * size : (k + 1) * size]) for k in shards)
+        # two sources of equal weight take turns as long as the smaller one lasts, 4000 documents
+        begin = [source[i] for k in sorted(shards) if (k + 1) * size <= 4000 for i in shards[k]]
+        assert abs(begin.count("a") - begin.count("b")) <= 2 * mixing.BLOCK
