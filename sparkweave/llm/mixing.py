@@ -3,15 +3,18 @@
 A source's documents form blocks. Block j of a source with weight w is released at slot floor(j / w) and
 due by slot ceil((j + 1) / w); at every slot the released block with the earliest deadline is placed, so
 that no source is ever a whole block ahead of or behind its share. When a source has no blocks left, a
-new phase begins with the weights of the others. Weights are multiples of 1 / PERIOD, so a phase repeats
-after PERIOD slots and its schedule is a table of bounded size; every block finds its slot in it.
+new phase begins with the weights of the others. Weights are exact fractions. A phase is cut into pieces
+of PERIOD slots, and each source goes on from one to the next where it was; every block has its slot in them.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
-from dataclasses import dataclass
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,7 +24,7 @@ from .common import passing, stored
 from .places import Values, located
 
 BLOCK = 16  # documents
-PERIOD = 1000  # slots
+PERIOD = 1000  # slots in a piece of a phase
 TEMPERATURE = 0.5
 MOST_SOURCES = 500
 BUCKETS = 512  # parts in which a source's documents are ranked
@@ -42,62 +45,75 @@ def whole_weights(weights: dict, period: int) -> dict:
     return parts
 
 
-def edf(parts: dict, period: int) -> dict:
-    """For every source the slots of its blocks in one period, by earliest deadline first."""
+def exact_weights(weights: dict) -> dict:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def turns(parts: dict) -> Iterator:
+    """The source of every slot, without end, by earliest deadline first."""
+    period = sum(parts.values())
     names = sorted(parts, key=str)
-    number = {s: i for i, s in enumerate(names)}
-    waiting = [(0, -(-period // parts[s]), number[s], 0) for s in names]  # release, deadline, source, block
+    waiting = [(0, -(-period // parts[s]), i, 0) for i, s in enumerate(names)]  # release, deadline, source, block
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    slots: dict = {s: [] for s in names}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
+    at = 0
+    while True:
+        while waiting and waiting[0][0] <= at:
             _, due, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, i, j))
         due, i, j = heapq.heappop(ready)
         s, j = names[i], j + 1
-        if due <= slot:
+        if due <= at:
             raise AssertionError("a deadline was missed")
-        slots[s].append(slot)
-        if j < parts[s]:
-            heapq.heappush(waiting, (j * period // parts[s], -(-(j + 1) * period // parts[s]), i, j))
-    return slots
+        yield s
+        heapq.heappush(waiting, (j * period // parts[s], -(-(j + 1) * period // parts[s]), i, j))
+        at += 1
 
 
-@dataclass
-class Phase:
-    start: int  # first slot
-    first: dict  # source: its first block in this phase
-    slots: dict  # source: slots of one period
+def edf(parts: dict, period: int) -> dict:
+    """For every source the slots of its blocks in the first ``period``."""
+    slots: dict = {s: [] for s in parts}
+    for at, s in enumerate(islice(turns(parts), period)):
+        slots[s].append(at)
+    return slots
 
 
 def plan(blocks: dict, weights: dict, period: int = PERIOD) -> dict:
-    """For each source its phases as (first block, first slot, slots of a period); blocks: how many it has."""
+    """For each source the pieces of its phases as (first block, first slot, slots, length); blocks: how many it has."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     found: dict = {s: [] for s in left}
     start = 0
     while left:
-        slots = edf(whole_weights({s: weights[s] for s in left}, max(period, len(left))), max(period, len(left)))
-        length = max(period, len(left))
-        slot_of = lambda s, j: j // len(slots[s]) * length + slots[s][j % len(slots[s])]  # noqa: B023, E731
-        end = min(slot_of(s, n - 1) for s, n in left.items()) + 1
-        cycles, rest = divmod(end, length)
-        for s in list(left):
-            found[s].append((done[s], start, slots[s], length))
-            used = cycles * len(slots[s]) + bisect_right(slots[s], rest - 1)
-            done[s] += used
-            left[s] -= used
-            if left[s] <= 0:
+        order = turns(exact_weights({s: weights[s] for s in left}))
+        while True:
+            slots: dict = {s: [] for s in left}
+            out = False
+            for at in range(period):
+                s = next(order)
+                slots[s].append(at)
+                if len(slots[s]) == left[s]:
+                    out = True
+                    break
+            for t, own in slots.items():
+                if own:
+                    found[t].append((done[t], start, np.array(own), at + 1))
+                done[t] += len(own)
+                left[t] -= len(own)
+            start += at + 1
+            if out:
                 del left[s]
-        start += end
+                break
     return found
 
 
 def slot(phases: list, block: int) -> int:
-    first, start, slots, length = phases[bisect_right([p[0] for p in phases], block) - 1]
+    first, start, slots, _ = phases[bisect_right([p[0] for p in phases], block) - 1]
     j = block - first
-    return start + j // len(slots) * length + slots[j % len(slots)]
+    return start + int(slots[j])
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, also: dict[str, Column] | None = None) -> tuple[DataFrame, dict]:
@@ -125,7 +141,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, p
     wanted = weights if weights is not None else {s: n**TEMPERATURE for s, n in counts.items()}
     phases = plan({s: -(-n // block) for s, n in counts.items()}, wanted, period)
     offsets = {s: np.concatenate([[0], np.cumsum(parts)[:-1]]) for s, (_, parts) in told.items()}
-    firsts = {s: [p[0] for p in ps] for s, ps in phases.items()}
+    slots_of = {s: np.concatenate([start + slots for _, start, slots, _ in ps]) for s, ps in phases.items()}
 
     @F.pandas_udf("struct<block long, slot long, position long>")
     def placed(source, bucket, rank):
@@ -138,12 +154,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, p
             s = None if s is None or s != s else s
             place = offsets[s][bucket.to_numpy()[own]] + rank.to_numpy()[own] - 1
             b = place // block
-            phase = np.searchsorted(firsts[s], b, side="right") - 1
-            for k in np.unique(phase):
-                first, start, slots, length = phases[s][k]
-                here = phase == k
-                j = b[here] - first
-                out[own[here], 1] = start + j // len(slots) * length + np.asarray(slots)[j % len(slots)]
+            out[own, 1] = slots_of[s][b]
             out[own, 0], out[own, 2] = b, place % block
         return pd.DataFrame(out, columns=["block", "slot", "position"])
 

@@ -48,3 +48,24 @@ def test_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": 1})
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 400), st.floats(0.0001, 1)), min_size=1, max_size=8))
+def test_less_than_a_block_from_the_given_weights(weights):
+    n = 400
+    phases = mixing.plan(dict.fromkeys(range(len(weights)), n), dict(enumerate(weights)), 60)
+    total = sum(map(Fraction, weights), Fraction(0))
+    end = min(mixing.slot(phases[s], n - 1) for s in phases)  # the first phase
+    for s, w in enumerate(weights):
+        share = Fraction(w) / total
+        own = [x for _, start, slots, _ in phases[s] for x in (start + slots).tolist() if x <= end]
+        for j, x in enumerate(own):
+            assert -1 < j - share * x and (j + 1) - share * (x + 1) < 1
+
+
+def test_a_third_each_and_a_ten_thousandth():
+    phases = mixing.plan(dict.fromkeys("abc", 100_000), dict.fromkeys("abc", 1))
+    assert all(mixing.slot(phases[s], j) // 3 == j for s in "abc" for j in range(0, 100_000, 777))
+    phases = mixing.plan({"a": 200_000, "b": 50}, {"a": 0.9999, "b": 0.0001})
+    assert abs(mixing.slot(phases["b"], 10) - 105_000) < 10_000
