@@ -76,9 +76,9 @@ def pack(items: list[tuple[int, int, object, object]], capacity: int) -> list[tu
 def _packed(capacity: int):
     def shard(table: pa.Table) -> pa.Table:
         number = table.column("shard")[0].as_py()
-        rows = {c: table.column(c).to_pylist() for c in ("locator", "id", "size", "source", "lane", "cluster")}
+        rows = {c: table.column(c).to_pylist() for c in ("locator", "id", "size", "source", "cluster")}
         place = {locator: i for i, locator in enumerate(rows["locator"])}
-        items = list(zip(rows["locator"], rows["size"], zip(rows["source"], rows["lane"], strict=True), rows["cluster"], strict=True))
+        items = list(zip(rows["locator"], rows["size"], rows["source"], rows["cluster"], strict=True))
         packed = pack(items, capacity)
         # bins are numbered by the first of their documents
         first: dict[int, int] = {}
@@ -98,9 +98,8 @@ def best_fit(
     """One row per piece of a document: id, piece, bin_id, bin_offset, n_tokens.
 
     A bin holds no two documents of a duplicate cluster (by default: of equal text but for white space)
-    and no two of a source. A source with so large a share of the tokens that this would leave bins half
-    empty has lanes, by a hash, that count as sources of their own. Null and empty texts are one
-    separator long; a null source is a source; null ids pass through; repeated rows are packed each, in
+    and no two of a source, so a source with a large share of the documents leaves bins part empty. Null
+    and empty texts are one separator long; a null source is a source; null ids pass through; repeated rows are packed each, in
     different bins; longer texts than a bin are cut into pieces and kept whole; an empty table gives
     none; other columns are dropped whatever their names.
 
@@ -109,15 +108,9 @@ def best_fit(
     own = cluster if cluster is not None else F.xxhash64(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN, " "))
     items = docs.select(F.col(id_col).cast("long").alias("id"), n_tokens(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), own.alias("cluster"), (F.monotonically_increasing_id() if order is None else order).alias("locator"))
     items = stored(items, "packing-items")
-    n, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    per_bin = max(1.0, capacity / max(1.0, total / max(1, n)))
-    share = F.sum("size") / F.lit(max(1, total))
-    # at most 2 * per_bin sources have more than one lane
-    lanes = items.groupBy("source").agg(F.ceil(share * (2 * per_bin)).cast("int").alias("lanes")).where("lanes > 1").select(F.col("source").alias("wide"), "lanes")
-    laned = items.join(F.broadcast(lanes), F.col("source").eqNullSafe(F.col("wide")), "left")
-    lane = F.pmod(F.xxhash64("locator", F.lit("lane")), F.coalesce("lanes", F.lit(1))).cast("int")
+    n = items.count()
     shards = max(1, -(-n // shard_rows))
     shard = F.pmod(F.xxhash64("locator", F.lit("shard")), F.lit(shards)) if order is None else F.floor(F.col("locator") / shard_rows)
-    dealt = laned.select("locator", "id", "size", "source", lane.alias("lane"), "cluster", shard.alias("shard"))
+    dealt = items.select("locator", "id", "size", "source", "cluster", shard.alias("shard"))
     packed = dealt.groupBy("shard").applyInArrow(_packed(capacity), "id long, piece long, bin_id long, bin_offset long, n_tokens long")
     return packed.withColumnRenamed("id", id_col)

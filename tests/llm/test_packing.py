@@ -66,3 +66,13 @@ def test_rows(spark):
             at += size
         assert at <= 128
     assert packing.best_fit(docs.limit(0)).count() == 0
+
+
+def test_a_source_once_in_a_bin(spark):
+    rows = [(i, "w " * (5 + i % 20), "hot" if i % 3 else f"s{i % 7}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    bins = {}
+    for r in packing.best_fit(docs, capacity=128, shard_rows=200).collect():
+        bins.setdefault(r.bin_id, []).append(source[r.doc_id])
+    assert sum(map(len, bins.values())) == 600 and all(len(set(b)) == len(b) for b in bins.values())
