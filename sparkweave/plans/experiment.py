@@ -25,6 +25,11 @@ JOB = "job_id string, protocol string, dataset string, scope_id string, n long,
 GROUP = ("protocol", "dataset", "scope_id", "algorithm", "requested_k", "resolution")
 
 
+def group_of(runs: DataFrame) -> tuple:
+    """GROUP, and the Laplacian where runs tell it."""
+    return (*GROUP, "laplacian") if "laplacian" in runs.columns else GROUP
+
+
 def job_id(parts: tuple) -> str:
     return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:16]
 
@@ -131,16 +136,17 @@ def same(a: DataFrame, b: DataFrame, keys) -> list:
 
 def stability_pairs(runs: DataFrame, labels: DataFrame) -> DataFrame:
     """ARI of every two runs without dropout that differ in their seed alone; labels: (job_id, node, label)."""
-    calm = runs.where("dropout_rate = 0").select("job_id", *GROUP, "algorithm_seed")
+    group = group_of(runs)
+    calm = runs.where("dropout_rate = 0").select("job_id", *group, "algorithm_seed")
     left, right = calm.alias("l"), calm.alias("r")
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in GROUP] + [F.struct("l.algorithm_seed", "l.job_id") < F.struct("r.algorithm_seed", "r.job_id")]
-    pairs = left.join(right, on).select(F.col("l.job_id").alias("left_job_id"), F.col("r.job_id").alias("right_job_id"), *(F.col(f"l.{k}") for k in GROUP))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in group] + [F.struct("l.algorithm_seed", "l.job_id") < F.struct("r.algorithm_seed", "r.job_id")]
+    pairs = left.join(right, on).select(F.col("l.job_id").alias("left_job_id"), F.col("r.job_id").alias("right_job_id"), *(F.col(f"l.{k}") for k in group))
     return pairs.join(ari_of(pairs, labels), ["left_job_id", "right_job_id"])
 
 
 def robustness_pairs(runs: DataFrame, labels: DataFrame) -> DataFrame:
     """ARI of every perturbed run with the run of the same seed and no dropout."""
-    keys = (*GROUP, "algorithm_seed")
+    keys = (*group_of(runs), "algorithm_seed")
     calm = runs.where("dropout_rate = 0").groupBy(*keys).agg(F.max("job_id").alias("job_id"))
     shaken = runs.where("dropout_rate > 0").select("job_id", *keys, "dropout_rate", "dropout_seed")
     left, right = calm.alias("l"), shaken.alias("r")

@@ -1,0 +1,11 @@
+from sparkweave.plans import experiment
+
+ROWS = [("a", "normalized", 1, 0.0), ("b", "normalized", 2, 0.0), ("c", "random_walk", 1, 0.0), ("d", "random_walk", 1, 0.05)]
+
+
+def test_laplacians_are_not_paired(spark):
+    runs = spark.createDataFrame([(j, "p", "d", "full", "spectral", 2, 1.0, x, s, r, 0) for j, x, s, r in ROWS], "job_id string, protocol string, dataset string, scope_id string, algorithm string, requested_k long, resolution double, laplacian string, algorithm_seed long, dropout_rate double, dropout_seed long")
+    labels = spark.createDataFrame([(j, n, n % 2) for j, *_ in ROWS for n in range(6)], "job_id string, node long, label int")
+    pairs = lambda f: [(r.left_job_id, r.right_job_id, r.laplacian, r.ari) for r in f(runs, labels).collect()]
+    assert pairs(experiment.stability_pairs) == [("a", "b", "normalized", 1.0)]
+    assert pairs(experiment.robustness_pairs) == [("c", "d", "random_walk", 1.0)]
