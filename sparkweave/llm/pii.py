@@ -170,15 +170,23 @@ class Pseudonyms:
     def replace(self, text: str, counts: Counter | None = None, back: bool = False) -> str:
         """The whole text with a pseudonym for everything that is valid personal data."""
 
-        def one(match: re.Match) -> str:
+        out, at, pos = [], 0, 0
+        while match := _FOUND.search(text, pos):
             kind, found = match.lastgroup, match[0]
-            if (out := getattr(self, kind)(found, back)) is None:
-                return found
-            if counts is not None:
-                counts[kind] += 1
-            return out
-
-        return _FOUND.sub(one, text)
+            new = getattr(self, kind)(found, back)
+            if new is None and kind == "iban":
+                # the match may go on into the next words: try what ends at an earlier space
+                for i in reversed([i for i, c in enumerate(found) if c == " "]):
+                    if (new := self.iban(found[:i], back)) is not None:
+                        found = found[:i]
+                        break
+            pos = match.start() + len(found)
+            if new is not None:
+                if counts is not None:
+                    counts[kind] += 1
+                out += [text[at : match.start()], new]
+                at = pos
+        return "".join([*out, text[at:]])
 
 
 # Every alternative starts at a character that few places of a text have.

@@ -50,3 +50,13 @@ def test_rows(spark):
     want = sorted(((k, t and P.replace(t), int(t == TEXT), int(t == TEXT or k == 4)) for k, t, _ in rows), key=str)
     assert got == want
     assert pii.pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_iban_before_a_word():
+    for iban in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874"):
+        for after in ("", " OK", " 2024", " 2024 MORE", " 1979-02-28", " 129.38.82.176"):
+            text = f"to {iban}{after}"
+            counts = pii.Counter()
+            out = P.replace(text, counts)
+            assert counts["iban"] == 1 and iban not in out and out[:5] == text[:5]
+            assert counts["date"] == (after == " 1979-02-28") and counts["ip"] == (after == " 129.38.82.176")
