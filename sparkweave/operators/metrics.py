@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +73,8 @@ def distributions(table: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def partition_metrics(graph: Graph, labels: DataFrame, resolution: float = 1.0, check: bool = False) -> DataFrame:
-    """One row: all scores of the partition, with its distributions as structs."""
+def partition_metrics(graph: Graph, labels: DataFrame, resolution: float = 1.0, check: bool = True) -> DataFrame:
+    """One row: all scores of the partition, with its distributions as structs; GraphError unless every node has one label."""
     if check:
         partition.check_cover(graph, labels)
     table = community_table(graph, labels)
@@ -93,81 +97,110 @@ def partition_metrics(graph: Graph, labels: DataFrame, resolution: float = 1.0,
 # against another partition
 
 
-def contingency(predicted: DataFrame, reference: DataFrame) -> DataFrame:
-    """(p, r, n) with the marginals and the total of one pass: a null p or r stands for all."""
-    both = predicted.select("node", F.col("label").alias("p")).join(reference.select("node", F.col("label").alias("r")), "node")
-    cells = both.groupBy("p", "r").agg(F.count(F.lit(1)).alias("n"))
-    return cells
+def contingency(predicted: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, p, r, n): how many nodes have the label p in the one and r in the other partition."""
+    both = predicted.select(*keys, "node", F.col("label").alias("p")).join(reference.select(*keys, "node", F.col("label").alias("r")), [*keys, "node"])
+    return both.groupBy(*keys, "p", "r").agg(F.count(F.lit(1)).alias("n"))
 
 
 def check_same_nodes(predicted: DataFrame, reference: DataFrame) -> None:
-    both = predicted.select("node", F.lit(1).alias("_p")).join(reference.select("node", F.lit(1).alias("_r")), "node", "full")
-    if not both.where("_p IS NULL OR _r IS NULL").isEmpty():
-        raise GraphError("the partitions cover different nodes")
-
-
-def agreement(predicted: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row: pairs together in both (a), in the prediction only (b), in the reference only (c), in neither (d); precision, recall, F1, ARI."""
-    cells = contingency(predicted, reference)
-    pairs = lambda c: F.sum(F.col(c).cast("decimal(38,0)") * (F.col(c) - 1) / 2).cast("decimal(38,0)")
-    joint = cells.agg(pairs("n").alias("a"), F.sum("n").alias("n"))
-    p = cells.groupBy("p").agg(F.sum("n").alias("s")).agg(pairs("s").alias("pp"))
-    r = cells.groupBy("r").agg(F.sum("n").alias("s")).agg(pairs("s").alias("rr"))
+    """Raise GraphError unless both give the same nodes one label each."""
+    sides = [x.groupBy("node").agg(F.count(F.lit(1)).alias(n)) for x, n in ((predicted, "_p"), (reference, "_r"))]
+    both = sides[0].join(sides[1], "node", "full")
+    if not both.where("NOT (_p <=> 1 AND _r <=> 1)").isEmpty():
+        raise GraphError("the partitions cover different nodes, or a node twice")
+
+
+def _two(c: str):
+    """Pairs among so many."""
+    return F.sum(F.col(c).cast("decimal(38,0)") * (F.col(c) - 1) / 2).cast("decimal(38,0)")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return left.join(right, list(keys)) if keys else left.crossJoin(right)
+
+
+def agreement_of(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``agreement`` for the cells of each key; one row without keys."""
+    total = cells.groupBy(*keys) if keys else cells.groupBy()
+    joint = total.agg(_two("n").alias("a"), F.sum("n").alias("n"))
+    sums = lambda c, name: cells.groupBy(*keys, c).agg(F.sum("n").alias("s")).groupBy(*keys).agg(_two("s").alias(name))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    row = joint.crossJoin(p).crossJoin(r).select(zero("a").alias("a"), (zero("pp") - zero("a")).alias("b"), (zero("rr") - zero("a")).alias("c"), zero("n").alias("n"))
+    row = _joined(_joined(joint, sums("p", "pp"), keys), sums("r", "rr"), keys)
+    row = row.select(*keys, zero("a").alias("a"), (zero("pp") - zero("a")).alias("b"), (zero("rr") - zero("a")).alias("c"), zero("n").alias("n"))
     row = row.withColumn("d", F.expr("CAST(n * (n - 1) div 2 AS BIGINT) - a - b - c"))
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
-    total = a + b + c + d
-    expected = (a + b) * (a + c) / total
+    pairs = a + b + c + d
+    expected = (a + b) * (a + c) / pairs
     most = (2 * a + b + c) / 2
-    ari = F.when(total == 0, 1.0).when(most == expected, F.when((b == 0) & (c == 0), 1.0).otherwise(0.0)).otherwise((a - expected) / (most - expected))
+    ari = F.when(pairs == 0, 1.0).when(most == expected, F.when((b == 0) & (c == 0), 1.0).otherwise(0.0)).otherwise((a - expected) / (most - expected))
     return row.select(
-        "a", "b", "c", "d", F.when(a + b > 0, a / (a + b)).alias("pairwise_precision"), F.when(a + c > 0, a / (a + c)).alias("pairwise_recall"),
-        F.when(2 * a + b + c > 0, 2 * a / (2 * a + b + c)).otherwise(1.0).alias("pairwise_f1"), F.when(total == 0, 1.0).otherwise(ari).alias("ari"),
+        *keys, "a", "b", "c", "d", F.when(a + b > 0, a / (a + b)).alias("pairwise_precision"), F.when(a + c > 0, a / (a + c)).alias("pairwise_recall"),
+        F.when(2 * a + b + c > 0, 2 * a / (2 * a + b + c)).otherwise(1.0).alias("pairwise_f1"), ari.alias("ari"),
     )
 
 
-def adjusted_mutual_information(predicted: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row: mutual information, entropies, its expectation, and AMI with the arithmetic mean (Vinh, Epps and Bailey)."""
-    cells = contingency(predicted, reference)
-    p = cells.groupBy("p").agg(F.sum("n").alias("a"))
-    r = cells.groupBy("r").agg(F.sum("n").alias("b"))
-    total = cells.agg(F.sum("n").alias("total"))
+def agreement(predicted: DataFrame, reference: DataFrame, check: bool = True) -> DataFrame:
+    """One row: pairs together in both (a), in the prediction only (b), in the reference only (c), in neither (d); precision, recall, F1, ARI.
+
+    GraphError unless both partitions cover the same nodes.
+    """
+    if check:
+        check_same_nodes(predicted, reference)
+    return agreement_of(contingency(predicted, reference))
+
+
+def information_of(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``adjusted_mutual_information`` for the cells of each key; one row without keys."""
+    on = list(keys)
+    p = cells.groupBy(*keys, "p").agg(F.sum("n").alias("a"))
+    r = cells.groupBy(*keys, "r").agg(F.sum("n").alias("b"))
+    total = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
+    wide = lambda x: x.join(F.broadcast(total) if not keys else total, on) if keys else x.crossJoin(F.broadcast(total))
     entropy = lambda c: -F.sum(F.col(c) / F.col("total") * F.ln(F.col(c) / F.col("total")))
-    hp = p.crossJoin(F.broadcast(total)).agg(F.count(F.lit(1)).alias("kp"), entropy("a").alias("h_predicted"))
-    hr = r.crossJoin(F.broadcast(total)).agg(F.count(F.lit(1)).alias("kr"), entropy("b").alias("h_reference"))
-    mi = cells.join(p, "p").join(r, "r").crossJoin(F.broadcast(total)).agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("a") * F.col("b")))).alias("mutual_information"))
-    emi = _expected(p, r, total)
-    row = mi.crossJoin(hp).crossJoin(hr).crossJoin(emi)
+    hp = wide(p).groupBy(*keys).agg(F.count(F.lit(1)).alias("kp"), entropy("a").alias("h_predicted"))
+    hr = wide(r).groupBy(*keys).agg(F.count(F.lit(1)).alias("kr"), entropy("b").alias("h_reference"))
+    each = wide(cells.join(p, [*on, "p"]).join(r, [*on, "r"]))
+    mi = each.groupBy(*keys).agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("a") * F.col("b")))).alias("mutual_information"))
+    # sizes that occur are few (they sum to the nodes), so that pairs of them are at most about 2n
+    size_p = p.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("times_a"))
+    size_r = r.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("times_b"))
+    chance = F.sum(F.col("times_a") * F.col("times_b") * F.arrow_udf(expected_information, "double")("a", "b", "total"))
+    emi = wide(_joined(size_p, size_r, keys)).groupBy(*keys).agg(F.coalesce(chance, F.lit(0.0)).alias("expected_mutual_information"))
+    row = _joined(_joined(_joined(mi, hp, keys), hr, keys), emi, keys)
     mean = (F.col("h_predicted") + F.col("h_reference")) / 2
     trivial = ((F.col("kp") == 1) & (F.col("kr") == 1)) | ((F.col("h_predicted") == 0) & (F.col("h_reference") == 0))
     bottom = mean - F.col("expected_mutual_information")
     tiny = F.lit(2.220446049250313e-16)
     bottom = F.when(bottom < 0, F.least(bottom, -tiny)).otherwise(F.greatest(bottom, tiny))
     ami = F.when(trivial, 1.0).otherwise((F.col("mutual_information") - F.col("expected_mutual_information")) / bottom)
-    return row.select("mutual_information", "h_predicted", "h_reference", "expected_mutual_information", ami.alias("ami"))
+    return row.select(*keys, "mutual_information", "h_predicted", "h_reference", "expected_mutual_information", ami.alias("ami"))
 
 
-def _expected(p: DataFrame, r: DataFrame, total: DataFrame) -> DataFrame:
-    """Expected mutual information under the hypergeometric model, over pairs of community sizes.
+def adjusted_mutual_information(predicted: DataFrame, reference: DataFrame, check: bool = True) -> DataFrame:
+    """One row: mutual information, entropies, its expectation, and AMI with the arithmetic mean (Vinh, Epps and Bailey)."""
+    if check:
+        check_same_nodes(predicted, reference)
+    return information_of(contingency(predicted, reference))
 
-    Sizes that occur are few (their squares sum to at most the nodes), so their pairs are at most 2n.
-    """
-    sizes_p = p.groupBy("a").agg(F.count(F.lit(1)).alias("times_a"))
-    sizes_r = r.groupBy("b").agg(F.count(F.lit(1)).alias("times_b"))
-    pairs = sizes_p.crossJoin(sizes_r).crossJoin(F.broadcast(total))
-    each = pairs.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("total")), F.least("a", "b"))))
 
-    @F.pandas_udf("double")
-    def log_factorial(n):
-        import math
+CHUNK = 1 << 16
 
-        import pandas as pd
 
-        seen: dict[int, float] = {}
-        return pd.Series([seen[x] if x in seen else seen.setdefault(x, math.lgamma(x + 1)) for x in n.tolist()])
+def expected_information(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
+    """What communities of a and b of n nodes add to the mutual information, expected under the hypergeometric model.
 
-    lf = log_factorial
-    a, b, k, n = F.col("a"), F.col("b"), F.col("k"), F.col("total")
-    chance = F.exp(lf(a) + lf(b) + lf(n - a) + lf(n - b) - lf(n) - lf(k) - lf(a - k) - lf(b - k) - lf(n - a - b + k))
-    return each.agg(F.coalesce(F.sum(F.col("times_a") * F.col("times_b") * k / n * F.ln(n * k / (a * b)) * chance), F.lit(0.0)).alias("expected_mutual_information"))
+    The chance of k common nodes follows from that of k - 1 by a ratio, so a chunk of them is a running sum of logarithms.
+    """
+    out = []
+    for a, b, n in zip(a.to_pylist(), b.to_pylist(), n.to_pylist(), strict=True):
+        low, high, total = max(1, a + b - n), min(a, b), 0.0
+        f = lambda x: lgamma(x + 1)
+        log = f(a) + f(b) + f(n - a) + f(n - b) - f(n) - f(low) - f(a - low) - f(b - low) - f(n - a - b + low)
+        for begin in range(low, high + 1, CHUNK):
+            k = np.arange(begin, min(high + 1, begin + CHUNK), dtype=float)
+            logs = log + np.concatenate([[0], np.cumsum(np.log((a - k) * (b - k) / ((k + 1) * (n - a - b + k + 1)), out=np.full(len(k), -np.inf), where=(a > k) & (b > k)))])
+            total += float((k / n * np.log(n * k / (a * b)) * np.exp(logs[:-1])).sum())
+            log = logs[-1]
+        out.append(total)
+    return pa.array(out, pa.float64())
