@@ -53,23 +53,24 @@ def run(graph: Graph, config: Config | None = None) -> Result:
         raise GraphError("label propagation needs at least one iteration")
     adjacency = stored(graph.adjacency().repartition("src"), "lpa-adjacency")
     labels = stored(graph.vertices.select("node", F.col("node").alias("label")), "lpa-labels")
+    weights = stored(modal_labels(adjacency, labels), "lpa-weights")  # of each state once: for the choice and the test
     iterations, converged = 0, False
     while iterations < c.max_iterations and not converged:
         iterations += 1
         order = F.pmod(F.xxhash64(F.lit(c.seed), F.lit(iterations if c.shuffle_nodes else 0), F.col("node")), F.lit(c.colours))
         key = F.xxhash64(F.lit(c.seed), F.lit(iterations), F.col("node"), F.col("label")) if c.random_ties else F.lit(0)
         for colour in range(c.colours if c.asynchronous else 1):
-            chosen = _chosen(modal_labels(adjacency, labels), key)
+            chosen = _chosen(weights, key)
             moves = F.col("next").isNotNull() & ((order == colour) if c.asynchronous else F.lit(True))
             labels = stored(labels.join(chosen, "node", "left").select("node", F.when(moves, F.col("next")).otherwise(F.col("label")).alias("label")), "lpa-labels")
-        converged = is_stable(adjacency, labels)
+            weights = stored(modal_labels(adjacency, labels), "lpa-weights")
+        converged = is_stable(weights, labels)
     found = partition.split_disconnected(graph, labels) if c.split_disconnected_labels else partition.normalize(labels)
     return Result("label_propagation", stored(found, "lpa-result"), diagnostics={"iterations": float(iterations), "converged": float(converged)})
 
 
-def is_stable(adjacency: DataFrame, labels: DataFrame) -> bool:
-    """Whether every node has one of its heaviest labels; nodes without neighbors do."""
-    weights = modal_labels(adjacency, labels)
+def is_stable(weights: DataFrame, labels: DataFrame) -> bool:
+    """Whether every node has one of its heaviest labels, by the weights of ``modal_labels``; nodes without neighbors do."""
     most = weights.groupBy("node").agg(F.max("most").alias("most"))
     own = labels.join(weights.select("node", "label", "weight"), ["node", "label"], "left").join(most, "node", "left")
     return own.where(F.coalesce("weight", F.lit(0.0)) < F.coalesce("most", F.lit(0.0)) - TOLERANCE).isEmpty()

@@ -1,7 +1,10 @@
 """Louvain's method (Blondel and others 2008): local moves, contraction, and again.
 
-Moves are made in bulk where no two touch the same community, so their gains add up and modularity
-cannot fall. Graphs of few edges, as coarse levels are, move node by node on the driver instead.
+In a bulk pass a hash makes every community a giver or a receiver, and nodes move from givers to receivers. Two that
+move add up to what each gains alone but for the product of their degrees, and that only if they leave or join the same
+community; so as many join as gain more than the degrees of those before them can cost, and modularity cannot fall.
+Where a hub has a million neighbors, half of them can join it at once. With ``driver_edges`` graphs of few edges move
+node by node on the driver instead.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 from math import isfinite
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.functions.scratch import stored
@@ -30,7 +33,7 @@ class Config:
     min_modularity_gain: float = 1e-12
     shuffle_nodes: bool = True
     seed: int = 42
-    driver_edges: int = 200_000  # levels with at most so many edges move on the driver
+    driver_edges: int = 0  # levels with at most so many edges move on the driver
 
 
 def proposed(adjacency: DataFrame, degrees: DataFrame, labels: DataFrame, two_m: float, resolution: float) -> DataFrame:
@@ -43,12 +46,12 @@ def proposed(adjacency: DataFrame, degrees: DataFrame, labels: DataFrame, two_m:
     inside = F.col("target") == F.col("label")
     others = F.col("volume") - F.when(inside, F.col("degree")).otherwise(0.0)  # the community without the node
     scored = scored.withColumn("score", F.col("link") - F.lit(resolution / two_m) * F.col("degree") * others)
-    stay = held.join(volumes, "label").select("node", (F.lit(-resolution / two_m) * F.col("degree") * (F.col("volume") - F.col("degree"))).alias("alone"))
+    stay = held.join(volumes, "label").select("node", "degree", (F.lit(-resolution / two_m) * F.col("degree") * (F.col("volume") - F.col("degree"))).alias("alone"))
     best = scored.groupBy("node", "label").agg(
         F.max_by(F.struct("target", "score"), F.struct(F.when(~inside, F.col("score")), -F.col("target"))).alias("best"), F.max(F.when(inside, F.col("score"))).alias("own")
     )
     moves = best.join(stay, "node").withColumn("gain", F.col("best.score") - F.coalesce("own", "alone"))
-    return moves.where((F.col("gain") > BETTER) & (F.col("best.target") != F.col("label"))).select("node", "label", F.col("best.target").alias("target"), "gain")
+    return moves.where((F.col("gain") > BETTER) & (F.col("best.target") != F.col("label"))).select("node", "label", F.col("best.target").alias("target"), "gain", "degree")
 
 
 def compatible(moves: DataFrame, salt: int) -> DataFrame:
@@ -56,7 +59,17 @@ def compatible(moves: DataFrame, salt: int) -> DataFrame:
     rank = F.struct("gain", F.xxhash64("node", F.lit(salt)), "node")
     touched = moves.select("node", "target", "gain", F.explode(F.array("label", "target")).alias("community"))
     winners = touched.groupBy("community").agg(F.max_by("node", rank).alias("node"))
-    return winners.groupBy("node").count().where("count = 2").join(moves, "node").select("node", "target")
+    return winners.groupBy("node").count().where("count = 2").join(moves, "node").select("node", "target", "gain")
+
+
+def together(moves: DataFrame, salt: int, two_m: float, resolution: float) -> DataFrame:
+    """Moves that can be made at once: (node, target, gain), the gain after what the others can cost."""
+    side = lambda c: F.pmod(F.xxhash64(F.lit(salt), F.col(c)), F.lit(2)) == 0
+    allowed = moves.where(side("label") & ~side("target"))
+    order = [F.desc("gain"), F.xxhash64("node", F.lit(salt)), F.col("node")]
+    before = lambda c: F.coalesce(F.sum("degree").over(Window.partitionBy(c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    cost = F.lit(resolution / two_m) * F.col("degree") * (before("label") + before("target"))
+    return allowed.withColumn("gain", F.col("gain") - cost).where(F.col("gain") > BETTER).select("node", "target", "gain")
 
 
 def _moved(graph: Graph, config: Config, level: int) -> tuple[DataFrame, int, bool]:
@@ -69,12 +82,16 @@ def _moved(graph: Graph, config: Config, level: int) -> tuple[DataFrame, int, bo
     while two_m > 0 and passes < config.max_passes_per_level:
         passes += 1
         moves = stored(proposed(adjacency, degrees, labels, two_m, config.resolution), "louvain-moves")
-        taken = stored(compatible(moves, config.seed * 1_000_003 + level * 1009 + passes), "louvain-taken")
-        gain = moves.join(taken.select("node"), "node").agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
+        salt = config.seed * 1_000_003 + level * 1009 + passes
+        taken = stored(together(moves, salt, two_m, config.resolution), "louvain-taken")
+        gain = taken.agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
+        if gain <= 0:  # the hash parted no move's communities, or there is none
+            taken = stored(compatible(moves, salt), "louvain-taken")
+            gain = taken.agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
         if gain <= 0:
             break
         any_moved = True
-        labels = stored(labels.join(taken, "node", "left").select("node", F.coalesce("target", "label").alias("label")), "louvain-labels")
+        labels = stored(labels.join(taken.select("node", "target"), "node", "left").select("node", F.coalesce("target", "label").alias("label")), "louvain-labels")
         if 2 * gain / two_m <= config.min_modularity_gain:
             break
     return labels, passes, any_moved
