@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +58,6 @@ class Graph:
     @staticmethod
     def from_csr(spark: SparkSession, offsets, neighbors, weights=None) -> Graph:
         """From a symmetric sparse matrix with both directions of every edge and a loop once."""
-        import numpy as np
-
         offsets, neighbors = np.asarray(offsets, np.int64), np.asarray(neighbors, np.int64)
         n = len(offsets) - 1
         if n < 0 or offsets[0] != 0 or offsets[-1] != len(neighbors) or (np.diff(offsets) < 0).any():
@@ -68,11 +68,13 @@ class Graph:
         if len(w) != len(neighbors) or not (np.isfinite(w) & (w > 0)).all():
             raise GraphError("weights must be finite and positive, one an entry")
         src = np.repeat(np.arange(n), np.diff(offsets))
-        one = {(a, b): x for a, b, x in zip(src.tolist(), neighbors.tolist(), w.tolist(), strict=True)}
-        if len(one) != len(neighbors) or any(one.get((b, a)) != x for (a, b), x in one.items()):
-            raise GraphError("the matrix isn't symmetric")
-        upper = [(a, b, x) for (a, b), x in one.items() if a <= b]
-        return Graph(Graph.empty(spark, n).vertices, spark.createDataFrame(upper, EDGES), weights is not None)
+        there, back = np.lexsort((w, neighbors, src)), np.lexsort((w, src, neighbors))
+        same = (src[there] == neighbors[back]) & (neighbors[there] == src[back]) & (w[there] == w[back])
+        if not same.all() or ((np.diff(src[there]) == 0) & (np.diff(neighbors[there]) == 0)).any():
+            raise GraphError("the matrix isn't symmetric, or has an entry twice")
+        upper = src <= neighbors
+        edges = pa.table({"u": src[upper], "v": neighbors[upper], "weight": w[upper]})
+        return Graph(Graph.empty(spark, n).vertices, spark.createDataFrame(edges), weights is not None)
 
     # accessors
 

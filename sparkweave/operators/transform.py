@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.functions.scratch import stored
@@ -59,7 +59,7 @@ def drop_edges(graph: Graph, rate: float, seed: int) -> tuple[Graph, int]:
     """Without the edges whose uniform number is below the rate, and how many those are; all nodes stay."""
     if not 0 <= rate < 1:
         raise GraphError("the dropout rate must be at least 0 and below 1")
-    drawn = with_uniform(graph.edges, seed)
+    drawn = stored(with_uniform(graph.edges, seed), "dropout")  # the edges' table is computed once
     removed = drawn.where(F.col("uniform") < rate).count() if rate else 0
     return graph.with_edges(drawn.where(F.col("uniform") >= rate).drop("uniform")), removed
 
@@ -173,5 +173,5 @@ def snowball(graph: Graph, size: int, seed: int) -> DataFrame:
 def numbered(values: DataFrame, text_col: str) -> DataFrame:
     """(node, text): dense ids with whole numbers first, by value, and then other texts."""
     number = F.expr(f"try_cast({text_col} AS BIGINT)")
-    keyed = values.select(text_col, number.isNull().alias("_text"), number.alias("_number")).distinct()
-    return keyed.withColumn("node", (F.row_number().over(Window.orderBy("_text", "_number", text_col)) - 1).cast("long")).select("node", text_col)
+    keyed = values.select(text_col, number.isNull().alias("_text"), F.coalesce(number, F.lit(0)).alias("_number")).distinct()
+    return partition.dense_ids(keyed, ["_text", "_number", text_col]).select(F.col("id").alias("node"), text_col)
