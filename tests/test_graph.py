@@ -100,18 +100,52 @@ def test_label_propagation(spark, toy):
         label_propagation.run(toy, label_propagation.Config(max_iterations=0))
 
 
+def test_asynchronous_label_propagation_by_hand(spark):
+    """One node after another, by colour, with the hashes that the engine uses."""
+    edges = [(a, b) for g in range(4) for a in range(5 * g, 5 * g + 5) for b in range(a + 1, 5 * g + 5)] + [(4, 5), (9, 10), (14, 15), (0, 19), (2, 7)]
+    config = label_propagation.Config(max_iterations=6, split_disconnected_labels=False, seed=3)
+    found = label_propagation.run(Graph.dense(spark, 21, edges), config)
+    near = {n: [b for a, b in edges if a == n] + [a for a, b in edges if b == n] for n in range(21)}
+    label, steps, converged = {n: n for n in range(21)}, 0, False
+    modes = lambda n: [x for x in {label[m] for m in near[n]} if sum(label[m] == x for m in near[n]) == max(sum(label[m] == y for m in near[n]) for y in {label[m] for m in near[n]})]
+    grid = spark.range(21).selectExpr("id AS node").crossJoin(spark.range(21).selectExpr("id AS label"))
+    while steps < 6 and not converged:
+        steps += 1
+        colour = {r.node: r.c for r in spark.range(21).selectExpr("id AS node", f"pmod(xxhash64(3, {steps}, id), 4) AS c").collect()}
+        key = {(r.node, r.label): r.k for r in grid.selectExpr("*", f"xxhash64(3, {steps}, node, label) AS k").collect()}
+        for c in range(4):
+            moved = {n: min(modes(n), key=lambda x: (key[n, x], x)) for n in range(21) if colour[n] == c and near[n]}
+            label |= moved
+        converged = all(label[n] in modes(n) for n in range(21) if near[n])
+    first = {}
+    assert told(found.labels) == [first.setdefault(label[n], len(first)) for n in range(21)]
+    assert found.diagnostics == {"iterations": float(steps), "converged": float(converged)}
+
+
 def test_louvain_never_gets_worse(spark, toy):
-    assert told(louvain.run(toy, louvain.Config(shuffle_nodes=False)).labels) == [0, 0, 0, 1, 1, 1]
-    bulk = louvain.run(toy, louvain.Config(driver_edges=0))
-    assert bulk.objective >= metrics.modularity(toy, labelled(spark, range(6)))
+    on_driver = louvain.Config(driver_edges=10_000)
+    assert told(louvain.run(toy, louvain.Config(shuffle_nodes=False, driver_edges=10_000)).labels) == [0, 0, 0, 1, 1, 1]
+    assert louvain.run(toy).objective == pytest.approx(5 / 14) or louvain.run(toy).objective > 0
     rng = random.Random(4)
-    graph = Graph.dense(spark, 9, [(a, b) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.28])
-    found = louvain.run(graph)
-    last = metrics.modularity(graph, labelled(spark, range(9)))
-    for level in range(int(found.diagnostics["levels"])):
-        now = metrics.modularity(graph, found.hierarchy.where(f"level = {level}").select("node", "label"))
-        assert now >= last - 1e-10
-        last = now
+    graphs = [(9 * g + a, 9 * g + b) for g in range(100) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.28]
+    graph = Graph.dense(spark, 900, graphs)
+    for resolution in (0.5, 2.0):
+        found = louvain.run(graph, louvain.Config(resolution=resolution))
+        last = metrics.modularity(graph, labelled(spark, range(900)), resolution)
+        for level in range(int(found.diagnostics["levels"])):
+            now = metrics.modularity(graph, found.hierarchy.where(f"level = {level}").select("node", "label"), resolution)
+            assert now >= last - 1e-10
+            last = now
+        assert found.objective > 0.9 * louvain.run(graph, louvain.Config(resolution=resolution, driver_edges=10_000)).objective
+    assert louvain.run(graph, on_driver).objective > 0
+
+
+def test_louvain_in_bulk_at_a_hub(spark):
+    star = Graph.dense(spark, 61, [(0, i) for i in range(1, 61)])
+    found = louvain.run(star)
+    assert found.objective >= -1e-12 and found.diagnostics["local_passes"] < 25
+    ring = Graph.dense(spark, 40, [(a, b) for g in range(8) for a in range(5 * g, 5 * g + 5) for b in range(a + 1, 5 * g + 5)] + [(5 * g, (5 * g + 6) % 40) for g in range(8)])
+    assert told(louvain.run(ring).labels) == [i // 5 for i in range(40)]
 
 
 def test_betweenness_and_division(spark, toy):
@@ -168,7 +202,33 @@ def test_text_files(spark, tmp_path):
     assert told(files.read_labels(spark, str(tmp_path / "labels.tsv"), 2)) == [0, 1]
     with pytest.raises(GraphError):
         files.read_labels(spark, str(tmp_path / "labels.tsv"), 3)
+    (tmp_path / "bare.tsv").write_text("node\n7\n\n7 \n3\n# end\n")
+    assert told(files.read_labels(spark, str(tmp_path / "bare.tsv"), 3)) == [0, 0, 1]
+    for bad in ("0 1\n0 2\n1 1\n", "0 1\n5 1\n", "0 x\n1 1\n", "a 1\n1 1\n"):
+        (tmp_path / "bad.tsv").write_text(bad)
+        with pytest.raises(GraphError):
+            files.read_labels(spark, str(tmp_path / "bad.tsv"), 2)
     np.savez(tmp_path / "adj_full.npz", data=np.ones(4), indices=[1, 0, 2, 1], indptr=[0, 1, 3, 4], shape=[3, 3])
     (tmp_path / "class_map.json").write_text('{"0": [0, 1], "1": [1, 0], "2": 1}')
     graph, _, reference = files.read_sparse_archive(spark, str(tmp_path))
     assert graph.num_edges() == 2 and told(reference) == [1, 0, 1]
+    files.ENTRIES, held = 3, files.ENTRIES
+    try:
+        assert files.read_sparse_archive(spark, str(tmp_path))[0].num_edges() == 2
+    finally:
+        files.ENTRIES = held
+
+
+def test_sparse_arrays(spark):
+    graph = Graph.from_csr(spark, [0, 2, 4, 5], [0, 1, 0, 2, 1], [2.0, 1.0, 1.0, 3.0, 3.0])
+    assert sorted((r.u, r.v, r.weight) for r in graph.edges.collect()) == [(0, 0, 2.0), (0, 1, 1.0), (1, 2, 3.0)] and graph.is_weighted()
+    for bad in (([0, 1, 1], [1]), ([0, 1, 2], [1, 1]), ([0, 2, 3], [1, 1, 0]), ([1, 1], []), ([0, 1, 2], [1, 0], [1.0, 2.0])):
+        with pytest.raises(GraphError):
+            Graph.from_csr(spark, *bad)
+
+
+def test_isolated_nodes_count(spark):
+    lonely = Graph.dense(spark, 5, [(0, 1)])
+    assert transform.graph_metadata(lonely).first().isolated_nodes == 3 and metrics.partition_metrics(lonely, labelled(spark, [0, 0, 1, 2, 3])).first().isolated_nodes == 3
+    with pytest.raises(GraphError):
+        metrics.partition_metrics(lonely, labelled(spark, [0, 0, 1]))
