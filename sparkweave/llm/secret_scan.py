@@ -7,6 +7,7 @@ bytes. Where it accepts a rule, the rule's own anchored automata give the leftmo
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,9 @@ RULES = (
 )
 
 
+MARK = 64  # bytes
+
+
 class Scanner:
     """The compiled rules. Small enough to go to every task."""
 
@@ -55,6 +59,8 @@ class Scanner:
         self.all = Automaton([(r.head or r.tail, r.ignore_case) for r in rules], search=True)
         self.heads = [Automaton([(r.head, r.ignore_case)]) for r in rules]
         self.whole = [Automaton([(r.head + r.tail, r.ignore_case)]) for r in rules]
+        starts = [bytes(b for b, c in enumerate(w.classes) if w.step[w.start + c] != w.dead) for w in self.whole]
+        self.first = [re.compile(b"[" + re.escape(x) + b"]") for x in starts]  # bytes that a match can start with
         self.table: list[int] | None = None
 
     def __getstate__(self):
@@ -65,7 +71,7 @@ class Scanner:
         if self.table is None:
             self.table = self.all.step.tolist()
         step, state, accepting = self.table, self.all.start, self.all.accepting
-        used, found, at = [0] * len(self.rules), [], 0
+        used, found, at, failed = [0] * len(self.rules), [], 0, set()
         for c in data.translate(self.all.classes):
             state = step[state + c]
             at += 1
@@ -73,28 +79,48 @@ class Scanner:
                 marks = self.all.marks[state]
                 for k in range(len(used)):
                     if marks >> k & 1 and at > used[k]:
-                        self._settle(data, k, at, used, found)
+                        self._settle(data, k, at, used, found, failed)
         return sorted(found)
 
-    def _settle(self, data: bytes, k: int, seen: int, used: list[int], found: list) -> None:
+    def _settle(self, data: bytes, k: int, seen: int, used: list[int], found: list, failed: set) -> None:
         """Rule k may start before ``seen``: decide every start from where it was last decided."""
-        whole, head = self.whole[k], self.heads[k]
-        first = [whole.step[whole.start + c] != whole.dead for c in whole.classes]
+        head = self.heads[k]
         start = used[k]
-        while start < seen:
-            end, ahead, alive = -1, 256, first[data[start]]
-            while alive:
-                end, alive = whole.longest(data[start : start + ahead].translate(whole.classes))
-                alive = alive and start + ahead < len(data)
-                ahead *= 4
-            if end <= 0:
+        while maybe := self.first[k].search(data, start, seen):
+            start = maybe.start()
+            end = self._longest(data, k, start, failed)
+            if end <= start:
                 start += 1
                 continue
-            mid = head.longest(data[start : start + end].translate(head.classes))[0]
-            if end - mid >= self.rules[k].least_tail:
-                found.append((start, k, start + end))
-            start += end
-        used[k] = start
+            mid = head.longest(data[start:end].translate(head.classes))[0]
+            if end - start - mid >= self.rules[k].least_tail:
+                found.append((start, k, end))
+            start = end
+        used[k] = max(start, seen)
+
+    def _longest(self, data: bytes, k: int, start: int, failed: set[tuple[int, int, int]]) -> int:
+        """End of rule k's longest match from ``start``, or -1.
+
+        ``failed`` has (rule, place, state) of earlier tries that came to nothing, every MARK bytes: a try that
+        meets one of them ends there, so that starts in a long run that fails don't each read all of it.
+        """
+        whole = self.whole[k]
+        step, classes, dead, accepting, state = whole.step, whole.classes, whole.dead, whole.accepting, whole.start
+        end, seen, at = -1, [], start
+        while at < len(data):
+            state = step[state + classes[data[at]]]
+            at += 1
+            if state == dead:
+                break
+            if state >= accepting:
+                end = at
+            elif not at % MARK:
+                mark = (k, at, state)
+                if mark in failed:
+                    break
+                seen.append((mark, end))
+        failed.update(mark for mark, before in seen if before == end)
+        return end
 
 
 def _digest_rows(scanner: Scanner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,18 +139,19 @@ def _digest_rows(scanner: Scanner, batches: Iterator[pa.RecordBatch]) -> Iterato
             for _, k, _ in spans:
                 counts[k] += 1
             own = ",".join(x for x, (_, k, _) in zip(named, spans, strict=True) if base[k])
-            row = [*counts, hashlib.sha256(own.encode()).hexdigest(), ",".join(named)]
+            row = [*(c for c, b in zip(counts, base, strict=True) if b), hashlib.sha256(own.encode()).hexdigest(), ",".join(named), *(c for c, b in zip(counts, base, strict=True) if not b)]
             for out, value in zip(columns[1:], row, strict=True):
                 out.append(value)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:], strict=True))], schema=schema)
 
 
 def scan_schema(rules: tuple[Rule, ...]) -> pa.Schema:
-    return pa.schema([("row", pa.int64()), *((f"n_{r.kind}", pa.int64()) for r in rules), ("base_sha256", pa.string()), ("spans", pa.string())])
+    counts = {b: [(f"n_{r.kind}", pa.int64()) for r in rules if r.base == b] for b in (True, False)}
+    return pa.schema([("row", pa.int64()), *counts[True], ("base_sha256", pa.string()), ("spans", pa.string()), *counts[False]])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: the id, n_<kind> for every rule, base_sha256 and spans.
+    """One row per document: the id, n_<kind> for every base rule, base_sha256, spans, and n_<kind> for the other rules.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then by the rules' order.
     A null or empty text has no spans: zero counts, the digest of the empty string, empty ``spans``.
@@ -132,6 +159,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     are dropped whatever their names. Texts of any length take one pass in memory of their size.
     """
     scanner = Scanner(rules)
-    fields = ", ".join(["row long", *(f"n_{r.kind} long" for r in rules), "base_sha256 string", "spans string"])
+    fields = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in scan_schema(rules))
     keyed = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("binary").alias("data"))
     return keyed.mapInArrow(lambda batches: _digest_rows(scanner, batches), fields).withColumnRenamed("row", id_col)
