@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date")
 ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# The two-digit country codes of the international numbering plan. 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
 
 
@@ -94,10 +98,11 @@ class Pseudonyms:
         return "".join(next(given) if c in DIGITS else c for c in text)
 
     def email(self, text: str, back: bool = False) -> str:
-        """The name and the domain up to its last dot."""
-        name, _, domain = text.partition("@")
+        """The name and the domain up to its last dot; letters in either case are equal, and each keeps its case."""
+        name, _, domain = text.lower().partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{self.classes(name, b'email', back)}@{self.classes(host, b'domain', back)}.{top}"
+        moved = f"{self.classes(name, b'email', back)}@{self.classes(host, b'domain', back)}.{top}"
+        return "".join(m.upper() if c in UPPER else m for c, m in zip(text, moved, strict=True))
 
     def card(self, text: str, back: bool = False) -> str | None:
         """The first digit stays, the check digit follows; None unless it is right."""
@@ -130,15 +135,18 @@ class Pseudonyms:
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def phone(self, text: str, back: bool = False) -> str | None:
-        """A country code stays; None for fewer than 7 or more than 15 digits."""
-        head = re.match(r"\+\d{1,3}(?=[ (.-])", text)
-        head = head[0] if head else "+" * text.startswith("+")
-        rest = text[len(head) :]
-        digits = re.sub(r"\D", "", rest)
-        if not 7 <= len(digits) <= 15:
+        """The country's code stays, by the numbering plan; None for fewer than 7 or more than 15 other digits.
+
+        Marks between digits don't count, and ten digits without a plus are the same number as after +1.
+        """
+        digits = re.sub(r"\D", "", text)
+        code = "" if text[0] != "+" else digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+        rest = digits[len(code) :]
+        if not 7 <= len(rest) <= 15:
             return None
-        moved = self.feistel.move(int(digits), 10 ** len(digits), b"phone" + head.encode(), back)
-        return head + self._fill(rest, str(moved).zfill(len(digits)))
+        tweak = code or ("1" if len(rest) == 10 else "")
+        moved = self.feistel.move(int(rest), 10 ** len(rest), b"phone" + tweak.encode(), back)
+        return self._fill(text, code + str(moved).zfill(len(rest)))
 
     def ip(self, text: str, back: bool = False) -> str | None:
         parts = [int(x) for x in text.split(".")]
@@ -198,20 +206,22 @@ _FOUND = re.compile(
       |(?P<ip>(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))
       |(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-]))
       |(?P<card>(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9]))
-      |(?P<phone>(?:(?:\+1[ .-]?)?(?:\([0-9]{3}\)\ ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,4})(?![A-Za-z0-9]))
+      |(?P<phone>(?:(?:\+1[ .-]?)?(?:\([0-9]{3}\)\ ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5})(?![A-Za-z0-9]))
     )""",
     re.X,
 )
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"change me", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, the text with pseudonyms, and n_<kind> for every kind.
 
     Null text stays null and empty text empty, with zero counts. Null ids and repeated rows pass through
     one to one, equal rows alike; an empty table gives none; other columns are dropped whatever their
     names. Numbers that fail their check, impossible dates and addresses stay as they are. A text takes
-    one pass of a pattern whatever its length.
+    one pass of a pattern whatever its length. The key is a secret of the caller's, of 8 bytes at least.
     """
+    if len(key) < 8:
+        raise ValueError("the key needs 8 bytes at least")
     names = Pseudonyms(key)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import exact_dedup, mixing, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, url_filter, warc
 from .common import table
 
+#: The key of the query alone, where spark.sparkweave.pii.key isn't set; the operator asks its caller for one.
+QUERY_KEY = b"no secret: results of the query are to be reproducible"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -47,6 +49,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+@query
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does to each version of the policy, from the ledger of op4."""
+    return quality_rules.ablations(quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents"))))
+
+
+_ASKED = ", ".join(f"('{p}', '{r}', {quality_rules.mask(names)}::BIGINT, {quality_rules.mask((r,))}::BIGINT)" for p, names in quality_rules.POLICIES.items() for r in names)
+ORACLES["quality_rule_ablations"] = f"""SELECT policy, "rule", count(*) FILTER ((failed_rules & bit) <> 0) AS n_failed, count(*) FILTER ((failed_rules & mask) = bit) AS n_only,
+  count(*) FILTER ((failed_rules & mask) = 0) AS n_kept, count(*) FILTER ((failed_rules & mask & ~bit) = 0) AS n_kept_without
+FROM ({ORACLES["op4_quality_rules"]}), (VALUES {_ASKED}) asked(policy, "rule", mask, bit) GROUP BY ALL"""
+
+
 @query
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -103,4 +117,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.sparkweave.pii.key", None)
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key.encode() if key else QUERY_KEY)
