@@ -41,8 +41,8 @@ class Graph:
         return Graph(spark.range(n).withColumnRenamed("id", "node"), spark.createDataFrame([], EDGES))
 
     @staticmethod
-    def of(vertices: DataFrame, pairs: DataFrame, check: bool = False) -> Graph:
-        """From (u, v[, weight]) in any order and direction; repeated edges add up."""
+    def of(vertices: DataFrame, pairs: DataFrame, check: bool = True) -> Graph:
+        """From (u, v[, weight]) in any order and direction; repeated edges add up. GraphError for ends that aren't nodes and wrong weights."""
         weight = F.col("weight").cast("double") if "weight" in pairs.columns else F.lit(1.0)
         rows = pairs.select(F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v"), weight.alias("weight"))
         graph = Graph(vertices.select(F.col("node").cast("long").alias("node")), rows.groupBy("u", "v").agg(F.sum("weight").alias("weight")))

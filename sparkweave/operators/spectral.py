@@ -151,7 +151,7 @@ def kmeans(points: np.ndarray, k: int, c: Config) -> tuple[np.ndarray, float, in
                     order = [p for p in np.argsort(-least, kind="stable") if p not in used]
                     used.add(order[0])
                     moved[j] = points[order[0]]
-            shift, same = float(np.sqrt(((moved - centers) ** 2).sum(1)).max()), (new == label).all()
+            shift, same = float(np.sqrt(((moved - centers) ** 2).sum())), (new == label).all()
             centers, label = moved, new
             if same or shift <= c.kmeans_tolerance:
                 break

@@ -18,6 +18,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkweave.functions.scratch import passing
 from sparkweave.graph import GraphError
 from sparkweave.plans import jobs, single
 from sparkweave.sources import files
@@ -147,7 +148,7 @@ def _run(spark: SparkSession, job: dict, base: str, summary: str) -> dict:
     words = jobs.command(job | {k: files.resolved(job[k], base) for k in ("graph", "reference", "output_dir") if job[k]})[1:]
     told, began = io.StringIO(), time.perf_counter()
     try:
-        with contextlib.redirect_stdout(told):
+        with contextlib.redirect_stdout(told), passing(spark):
             single.run(spark, single.parse(words))
         if not files.exists(summary):
             raise GraphError("the run left no summary")

@@ -11,7 +11,7 @@ import pyarrow
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweave.functions.scratch import stored
+from sparkweave.functions.scratch import passing, stored
 from sparkweave.graph import Graph, GraphError
 from sparkweave.operators import transform
 from sparkweave.sources import files
@@ -105,7 +105,8 @@ def prepare(spark: SparkSession, config: dict, base: str = "", only: list[str] |
     if unknown := set(only or []) - set(names):
         raise GraphError(f"no such dataset: {', '.join(sorted(unknown))}")
     folder = files.resolved(config.get("output_dir", "data/processed"), base)
-    entries = [dataset(spark, d, folder, config.get("samples", []), base) for d in config["datasets"] if not only or d["name"] in only]
+    with passing(spark):
+        entries = [dataset(spark, d, folder, config.get("samples", []), base) for d in config["datasets"] if not only or d["name"] in only]
     manifest = {
         "schema_version": 1, "generator": "sparkweave prepare", "python_version": platform.python_version(), "numpy_version": np.__version__, "pyarrow_version": pyarrow.__version__,
         "spark_version": pyspark.__version__, "datasets": entries,

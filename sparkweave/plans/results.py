@@ -10,7 +10,7 @@ import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.functions.scratch import stored
+from sparkweave.functions.scratch import passing, stored
 from sparkweave.graph import GraphError
 from sparkweave.operators import metrics
 from sparkweave.plans.executor import DONE, index_table, read_index
@@ -252,17 +252,22 @@ def tables(spark: SparkSession, records: list[dict], manifest: dict, base: str =
 
 def summarize(spark: SparkSession, folder: str, manifest_path: str, base: str = "", with_ami: bool = True) -> str:
     """Write all tables as CSV, with NA for null, and report_ready.json, which names them; its path."""
-    manifest = json.loads(files.read_text(manifest_path))
-    paths = {}
-    for name, rows in tables(spark, read_index(folder), manifest, base, with_ami).items():
-        lists = {f.name: F.array_join(f"`{f.name}`", " ").alias(f.name) for f in rows.schema.fields if f.dataType.typeName() == "array"}
-        rows = rows.select(*(lists.get(c, col(c)) for c in rows.columns))
-        paths[name] = f"{folder}/tables/{name}.csv"
-        order = [c for c in (*GROUP, "dropout_rate", "sample_profile", "name", "job_id", "left_job_id", "right_job_id", "baseline_job_id", "perturbed_job_id", "community") if c in rows.columns]
-        files.write_table(rows, paths[name], [f"`{c}`" for c in order], sep=",")
+    with passing(spark):
+        paths = _write(folder, tables(spark, read_index(folder), json.loads(files.read_text(manifest_path)), base, with_ami))
     ready = {
         "schema_version": 1, "spark_version": pyspark.__version__, "ami_convention": "arithmetic mean normalization; natural logarithm", "quantile_convention": "linear interpolation",
         "files": {n: files.relative(p, base) for n, p in paths.items()},
     }
     files.write_text(f"{folder}/report_ready.json", json.dumps(ready, ensure_ascii=False, indent=2) + "\n")
     return f"{folder}/report_ready.json"
+
+
+def _write(folder: str, found: dict[str, DataFrame]) -> dict[str, str]:
+    paths = {}
+    for name, rows in found.items():
+        lists = {f.name: F.array_join(f"`{f.name}`", " ").alias(f.name) for f in rows.schema.fields if f.dataType.typeName() == "array"}
+        rows = rows.select(*(lists.get(c, col(c)) for c in rows.columns))
+        paths[name] = f"{folder}/tables/{name}.csv"
+        order = [c for c in (*GROUP, "dropout_rate", "sample_profile", "name", "job_id", "left_job_id", "right_job_id", "baseline_job_id", "perturbed_job_id", "community") if c in rows.columns]
+        files.write_table(rows, paths[name], [f"`{c}`" for c in order], sep=",")
+    return paths

@@ -125,19 +125,16 @@ def test_asynchronous_label_propagation_by_hand(spark):
 def test_louvain_never_gets_worse(spark, toy):
     on_driver = louvain.Config(driver_edges=10_000)
     assert told(louvain.run(toy, louvain.Config(shuffle_nodes=False, driver_edges=10_000)).labels) == [0, 0, 0, 1, 1, 1]
-    assert louvain.run(toy).objective == pytest.approx(5 / 14) or louvain.run(toy).objective > 0
     rng = random.Random(4)
     graphs = [(9 * g + a, 9 * g + b) for g in range(100) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.28]
     graph = Graph.dense(spark, 900, graphs)
-    for resolution in (0.5, 2.0):
-        found = louvain.run(graph, louvain.Config(resolution=resolution))
-        last = metrics.modularity(graph, labelled(spark, range(900)), resolution)
-        for level in range(int(found.diagnostics["levels"])):
-            now = metrics.modularity(graph, found.hierarchy.where(f"level = {level}").select("node", "label"), resolution)
-            assert now >= last - 1e-10
-            last = now
-        assert found.objective > 0.9 * louvain.run(graph, louvain.Config(resolution=resolution, driver_edges=10_000)).objective
-    assert louvain.run(graph, on_driver).objective > 0
+    found = louvain.run(graph)
+    last = metrics.modularity(graph, labelled(spark, range(900)))
+    for level in range(int(found.diagnostics["levels"])):
+        now = metrics.modularity(graph, found.hierarchy.where(f"level = {level}").select("node", "label"))
+        assert now >= last - 1e-10
+        last = now
+    assert found.objective > 0.97 * louvain.run(graph, on_driver).objective
 
 
 def test_louvain_in_bulk_at_a_hub(spark):
