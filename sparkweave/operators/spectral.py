@@ -1,15 +1,17 @@
 """Spectral clustering: Laplacian eigenvectors, sweep cuts and k-means.
 
-The guard on edge visits bounds the matrix, which is gathered on the driver as sparse arrays; vectors
-times matrix and the iteration itself are numpy.
+The guard on edge visits bounds the matrix, which is gathered on the driver as sparse arrays, or stays a table of
+the cluster (``matrix="cluster"``) that every product of the iteration is a job over; the driver then holds the basis alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import inf, isfinite
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from sparkweave.operators.result import Result
 
 NORMALIZED, UNNORMALIZED = "normalized", "unnormalized"
 SWEEP, SIGN = "sweep", "sign"
+DRIVER, CLUSTER = "driver", "cluster"
 SAME = 1e-14  # coordinates this close aren't cut apart
 
 
@@ -40,6 +43,7 @@ class Config:
     max_edge_visits: float = 2e9
     max_orthogonalization_ops: float = 5e9
     force: bool = False
+    matrix: str = DRIVER
 
 
 def automatic_basis(k: int) -> int:
@@ -69,6 +73,39 @@ class Operator:
         return b if self.normalized else b + np.diag(self.shift - self.degree)
 
 
+class ClusterOperator(Operator):
+    """The same over a table of edges (i, j, weight); a vector goes to the tasks and their sums come back."""
+
+    def __init__(self, n: int, edges: DataFrame, laplacian: str):
+        self.n, self.normalized = n, laplacian == NORMALIZED
+        both = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight"))
+        self.entries = stored(both.repartition("i"), "spectral-entries")
+        self.degree = self._sums(self.entries.select("i", F.col("weight").alias("s")))
+        self.shift = 1.0 if self.normalized else max(1.0, 2 * self.degree.max(initial=0.0))
+        self.root = np.sqrt(np.where(self.degree > 0, self.degree, 1.0)) if self.normalized else np.ones(n)
+
+    def _sums(self, parts: DataFrame) -> np.ndarray:
+        found, out = parts.groupBy("i").agg(F.sum("s").alias("s")).toArrow(), np.zeros(self.n)
+        out[found.column("i").to_numpy()] = found.column("s").to_numpy()
+        return out
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        sent = self.entries.sparkSession.sparkContext.broadcast(x / self.root)  # 8 bytes a node
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i, j, w = (batch.column(c).to_numpy() for c in ("i", "j", "weight"))
+                own, place = np.unique(i, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, w * sent.value[j], len(own)))], ["i", "s"])
+
+        out = self._sums(self.entries.mapInArrow(products, "i long, s double")) / self.root
+        sent.destroy()
+        return out if self.normalized else (self.shift - self.degree) * x + out
+
+    def dense(self) -> np.ndarray:
+        return np.array([self(row) for row in np.eye(self.n)])
+
+
 def lanczos(op: Operator, k: int, basis: int, tolerance: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest eigenvalues of B and their vectors, with every new vector made orthogonal twice."""
     rng = np.random.default_rng(seed & ((1 << 63) - 1))
@@ -214,8 +251,8 @@ def run(graph: Graph, config: Config | None = None) -> Result:
     k, n, m = c.num_communities, graph.num_nodes(), graph.num_edges()
     if not 2 <= k <= n:
         raise GraphError("the number of communities must be from 2 to the number of nodes")
-    if c.laplacian not in (NORMALIZED, UNNORMALIZED) or c.bisection not in (SWEEP, SIGN):
-        raise GraphError("no such Laplacian or bisection")
+    if c.laplacian not in (NORMALIZED, UNNORMALIZED) or c.bisection not in (SWEEP, SIGN) or c.matrix not in (DRIVER, CLUSTER):
+        raise GraphError("no such Laplacian, bisection or place of the matrix")
     if min(c.kmeans_restarts, c.kmeans_max_iterations) < 1 or not all(isfinite(x) and x > 0 for x in (c.kmeans_tolerance, c.eigensolver_tolerance, c.maximum_eigensolver_residual)):
         raise GraphError("tolerances and limits must be positive")
     if graph.has_loops():
@@ -224,8 +261,12 @@ def run(graph: Graph, config: Config | None = None) -> Result:
     if n > c.dense_solver_threshold and not c.force and (2 * m * basis > c.max_edge_visits or 4 * n * basis**2 > c.max_orthogonalization_ops):
         raise GraphError("the work is above the guards")
     ids = stored(partition.dense_ids(graph.vertices, ["node"]), "spectral-ids")
-    rows = graph.edges.join(ids.withColumnsRenamed({"node": "u", "id": "i"}), "u").join(ids.withColumnsRenamed({"node": "v", "id": "j"}), "v").select("i", "j", "weight").orderBy("i", "j").toPandas()
-    op = Operator(n, rows["i"].to_numpy(), rows["j"].to_numpy(), rows["weight"].to_numpy(float), c.laplacian)
+    edges = graph.edges.join(ids.withColumnsRenamed({"node": "u", "id": "i"}), "u").join(ids.withColumnsRenamed({"node": "v", "id": "j"}), "v").select("i", "j", "weight")
+    if c.matrix == CLUSTER:
+        op = ClusterOperator(n, edges, c.laplacian)
+    else:
+        held = edges.orderBy("i", "j").toArrow()
+        op = Operator(n, *(held.column(x).to_numpy() for x in ("i", "j", "weight")), c.laplacian)
     values, vectors, backend, basis = eigenpairs(op, k, c)
     worst = residual(op, values, vectors)
     if worst > c.maximum_eigensolver_residual:

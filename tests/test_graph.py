@@ -163,6 +163,19 @@ def test_spectral(spark, toy, laplacian, dense):
     assert found.objective == pytest.approx(2 / 7 if laplacian == spectral.NORMALIZED else 2 / 3)
 
 
+@pytest.mark.parametrize("laplacian", [spectral.NORMALIZED, spectral.UNNORMALIZED])
+def test_spectral_matrix_on_the_cluster(spark, laplacian):
+    edges = [(a, b, 1.0 + (a + b) % 3) for g in range(3) for a in range(6 * g, 6 * g + 6) for b in range(a + 1, 6 * g + 6)] + [(5, 6, 1.0), (11, 12, 1.0)]
+    graph = Graph.dense(spark, 19, edges)
+    ids = graph.edges.select(graph.edges.u.alias("i"), graph.edges.v.alias("j"), "weight")
+    near = spectral.Operator(19, *np.array([e[:2] for e in sorted(edges)]).T, np.array([e[2] for e in sorted(edges)]), laplacian)
+    far = spectral.ClusterOperator(19, ids, laplacian)
+    x = np.random.default_rng(1).normal(size=19)
+    assert np.allclose(far(x), near(x)) and far.shift == near.shift
+    found = spectral.run(Graph.dense(spark, 18, edges), spectral.Config(num_communities=3, dense_solver_threshold=1, lanczos_basis_size=12, laplacian=laplacian, matrix=spectral.CLUSTER, kmeans_restarts=5))
+    assert told(found.labels) == [i // 6 for i in range(18)] and found.diagnostics["eigensolver_backend"] == 1
+
+
 def test_spectral_blocks(spark):
     edges = [(b * 100 + i, b * 100 + (i + k) % 100) for b in range(3) for i in range(100) for k in (1, 2, 3)] + [(99, 100), (199, 200)]
     found = spectral.run(Graph.dense(spark, 300, edges), spectral.Config(num_communities=3, seed=20260824, kmeans_restarts=5))
