@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkweave.functions.scratch import passing, scratch, shared_dir, stored
 
-__all__ = ["SPACE", "SPACE_RUN", "passing", "runs", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["SPACE", "SPACE_RUN", "passing", "runs", "scratch", "shared_dir", "stored", "table", "tidied", "tidy"]
 
 #: ASCII white space; words are the runs between it.
 SPACE = " \t\n\x0b\x0c\r"
@@ -40,3 +42,24 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             begin = i
     if held:
         yield pa.Table.from_batches(held)
+
+
+def tidy() -> None:
+    """Give back memory that isn't used any more: Python workers stay for later tasks, and so would all that they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def tidied(kernel: Callable) -> Callable:
+    """A kernel over batches that tidies up behind it."""
+
+    @wraps(kernel)
+    def run(*batches):
+        try:
+            yield from kernel(*batches)
+        finally:
+            tidy()
+
+    return run

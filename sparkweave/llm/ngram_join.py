@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkweave.functions.skew import joined
 from sparkweave.operators.components import stars
 
-from .common import passing, runs, stored
+from .common import passing, runs, stored, tidied
 from .places import Values, located
 
 U = np.uint64
@@ -134,12 +135,12 @@ def _linked(config: Config):
 
     def rows(batches):
         for group in runs(batches, ["key", "i", "j"]):
-            names = group.column("cls").to_pylist()
+            names = group.column("cid").to_numpy()
             values = np.frombuffer(b"".join(group.column("vals").to_pylist()), np.uint16).reshape(len(names), config.values)
-            block = np.array(group.column("block").to_pylist())
+            block = group.column("block").to_numpy()
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            order = sorted(range(len(names)), key=names.__getitem__)
-            names, values, block = [names[k] for k in order], values[order], block[order]
+            order = np.argsort(names)
+            names, values, block = names[order], values[order], block[order]
             union = _Union(len(names))
             for p in range(len(names) - 1 if i == j else len(names)):
                 other = np.flatnonzero(union.root != union.root[p])
@@ -155,9 +156,9 @@ def _linked(config: Config):
                         break
                 if len(other):
                     union.join(np.append(other, p))
-            hung = [(names[k], names[r]) for k, r in enumerate(union.root) if names[k] != names[r]]
-            if hung:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*hung, strict=True)], ["u", "v"])
+            hung = union.root != np.arange(len(names))
+            if hung.any():
+                yield pa.RecordBatch.from_arrays([pa.array(names[hung]), pa.array(names[union.root[hung]])], ["u", "v"])
 
     return rows
 
@@ -189,12 +190,9 @@ def _verified(config: Config):
 
     def rows(batches):
         for group in runs(batches, ["comp", "i", "j"]):
-            names = group.column("cls").to_pylist()
-            order = sorted({name: k for k, name in enumerate(names)}.values(), key=names.__getitem__)
-            names = [names[k] for k in order]
-            data, copies = group.column("data").to_pylist(), np.array(group.column("copies").to_pylist())[order]
-            sets = [shingles(data[k], config.n) for k in order]
-            block = np.array(group.column("block").to_pylist())[order]
+            names, order = np.unique(group.column("cid").to_numpy(), return_index=True)
+            copies, block = group.column("copies").to_numpy()[order], group.column("block").to_numpy()[order]
+            sets = [shingles(group.column("data")[k].as_py(), config.n) for k in order.tolist()]
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             size = np.array([len(s) for s in sets])
@@ -211,8 +209,7 @@ def _verified(config: Config):
                         texts[linked] += 1
                         docs[linked] += copies[p]
                     union.join(np.append(linked, p))
-            roots = [names[r] for r in union.root]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(roots, pa.binary()), pa.array(texts, pa.int64()), pa.array(docs, pa.int64())], ["cls", "root", "texts", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, names[union.root], texts, docs)], ["cid", "root", "texts", "docs"])
 
     return rows
 
@@ -220,7 +217,7 @@ def _verified(config: Config):
 def _dealt(rows: DataFrame, key: str, size: Column, block: int) -> DataFrame:
     """Deal each key's rows to the pairs of its blocks; a key of up to one block has the pair (0, 0) alone."""
     blocks = F.ceil(size / block).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
     return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
@@ -243,37 +240,59 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config
 
 
 def _join(docs: DataFrame, file: Column, row: Column, id_col: str, text_col: str, c: Config) -> DataFrame:
-    """The rows of join(), with file and row and those of the class's first document."""
+    """The rows of join(), with file and row and those of the class's first document.
+
+    A class is a set of n-grams; its number ``cid`` is that of its first document among the signatures.
+    Signatures are looked up where they lie; only those that meet others in a bucket are shuffled.
+    """
+    spark = docs.sparkSession
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), file.alias("file"), row.alias("row"), data)
-    signed = stored(plain.mapInArrow(_signatures(c), "id long, file long, row long, cls binary, keys array<long>, vals binary"), "ngram-signatures")
-    ranked = F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")
-    classes = signed.groupBy("cls").agg(F.min_by(F.struct("file", "row", "keys", "vals"), ranked).alias("own"), F.count(F.lit(1)).alias("copies"), F.min(ranked).alias("least"))
-    classes = stored(classes.select("cls", "own.*", "copies", "least"), "ngram-classes")
-    met = stored(classes.select(F.explode("keys").alias("key"), "cls"), "ngram-bands")
-    # a bucket with the same members as another one adds nothing
-    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("a"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("b")).where("size > 1")
-    buckets = buckets.groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key", "size")
-    meeting = met.join(buckets, "key")
-    candidates = _dealt(meeting.join(classes.select("cls", "vals"), "cls"), "key", F.col("size"), c.block)
-    near = stars(candidates.select("key", "i", "j", "block", "cls", "vals").mapInArrow(_linked(c), "u binary, v binary"))
-    near = near.withColumnsRenamed({"node": "cls", "component": "comp"})
-    sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    # the text of a class is that of its first document; no other texts move
-    members = stored(near.join(sizes, "comp").join(classes, "cls").select("cls", "comp", "size", "copies", "file", "row"), "ngram-members")
-    wanted = Values(docs.sparkSession, "ngram-wanted").write(members.select("file", "row", F.lit(0).alias("value")))
-    texts = docs.where(wanted.of(file, row) >= 0).select(file.alias("file"), row.alias("row"), data)
-    found = members.join(texts, ["file", "row"]).select("comp", "cls", "size", "copies", "data")
-    checked = _dealt(found, "comp", F.col("size"), c.block).select("comp", "i", "j", "block", "cls", "copies", "data")
-    checked = stored(checked.mapInArrow(_verified(c), "cls binary, root binary, texts long, docs long"), "ngram-verified")
-    linked = stars(checked.select(F.col("cls").alias("u"), F.col("root").alias("v"))).withColumnsRenamed({"node": "cls", "component": "root"})
-    counts = checked.groupBy("cls").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    whole = classes.select("cls", "copies", "least").join(linked, "cls", "left").join(counts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    leasts = whole.groupBy("root").agg(F.min("least").alias("first"))
-    told = whole.join(leasts, "root").select(
-        "cls", F.col("first")["id"].alias("class_id"), F.col("first")["file"].alias("first_file"), F.col("first")["row"].alias("first_row"), "copies", F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    signed = plain.mapInArrow(tidied(_signatures(c)), "id long, file long, row long, cls binary, keys array<long>, vals binary")
+    signed = stored(signed.withColumn("num", F.monotonically_increasing_id()), "ngram-signatures")
+    n, met_most = signed.count(), c.bands * signed.count()
+    # documents of equal sets
+    ranked = F.struct(F.col("id").isNull().alias("none"), "id", "num")
+    several = stored(signed.groupBy("cls").agg(F.min(ranked)["num"].alias("cid"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "ngram-copies")
+    again = Values(spark, "ngram-again", ("cid", "copies"))
+    again.write(stored(joined(signed.select("cls", "file", "row"), several, "cls", "copies", n).select("file", "row", "cid", "copies"), "ngram-again-rows"))
+    told = signed.withColumn("again", again.of(F.col("file"), F.col("row"))).withColumn("cid", F.coalesce("again.cid", "num"))
+    own = stored(told.select("id", "file", "row", "cid", F.coalesce("again.copies", F.lit(1)).alias("copies"), *(F.when(F.col("cid") == F.col("num"), F.col(x)).alias(x) for x in ("keys", "vals"))), "ngram-own")
+    classes = own.where("vals IS NOT NULL")
+    # classes that meet in a bucket; one with the same members as another one adds nothing
+    met = classes.select(F.explode("keys").alias("key"), "cid")
+    sizes = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "ngram-sizes")
+    met = stored(joined(met, sizes, "key", "size", met_most), "ngram-met")
+    once = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("a"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("b"))
+    once = stored(once.groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key", "size"), "ngram-buckets")
+    wanted = Values(spark, "ngram-meeting").write(stored(met.select("cid").distinct().select(*_place("cid"), F.lit(0).alias("value")), "ngram-meeting-rows"))
+    known = classes.where(wanted.of(*_place("cid")).isNotNull()).select("cid", "vals")
+    candidates = _dealt(joined(met.select("key", "cid"), once, "key", "size", met_most).join(known, "cid"), "key", F.col("size"), c.block)
+    near = stars(candidates.select("key", "i", "j", "block", "cid", "vals").mapInArrow(tidied(_linked(c)), "u long, v long"))
+    near = stored(near.withColumnsRenamed({"node": "cid", "component": "comp"}), "ngram-near")
+    sizes = stored(near.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "ngram-comps")
+    # the text of a class is that of its first document; no other texts move, and these once
+    members = joined(near, sizes, "comp", "size", n).join(classes.select("cid", "file", "row", "copies"), "cid")
+    wanted = Values(spark, "ngram-wanted", ("comp", "size", "cid", "copies"))
+    wanted.write(stored(members.select("file", "row", "comp", "size", "cid", "copies"), "ngram-members"))
+    texts = docs.select(wanted.of(file, row).alias("own"), data).where("own IS NOT NULL").select("own.*", "data")
+    checked = _dealt(texts, "comp", F.col("size"), c.block).select("comp", "i", "j", "block", "cid", "copies", "data")
+    checked = stored(checked.mapInArrow(tidied(_verified(c)), "cid long, root long, texts long, docs long"), "ngram-verified")
+    linked = stored(stars(checked.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnsRenamed({"node": "cid", "component": "root"}), "ngram-linked")
+    counts = checked.groupBy("cid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
+    firsts = linked.join(classes.select("cid", "id", "file", "row"), "cid").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cid", "file", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
+    found = joined(linked, stored(firsts, "ngram-firsts"), "root", "size", n).select("cid", "first").join(counts, "cid")
+    of_class = classes.select("cid", "copies", F.struct(F.col("id").isNull().alias("none"), "id", "cid", "file", "row").alias("itself")).join(found, "cid", "left")
+    first = F.coalesce("first", "itself")
+    of_class = of_class.select(
+        "cid", "copies", first["id"].alias("class_id"), first["file"].alias("first_file"), first["row"].alias("first_row"), F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return signed.select("id", "file", "row", "cls").join(told, "cls").drop("cls")
+    return joined(own.select("id", "file", "row", "cid"), stored(of_class, "ngram-classes"), "cid", "copies", n).drop("cid")
+
+
+def _place(number: str) -> tuple[Column, Column]:
+    """The part of the table and the row there that a number of monotonically_increasing_id stands for."""
+    return F.shiftright(number, 33).alias("file"), F.col(number).bitwiseAND(F.lit((1 << 33) - 1)).alias("row")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config | None = None) -> DataFrame:
@@ -284,4 +303,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         found = _join(docs, file, row, id_col, text_col, config or Config())
         dropped = found.where("file <> first_file OR row <> first_row").select("file", "row", F.lit(0).alias("value"))
         gone.write(stored(dropped, "ngram-dropped"))
-    return docs.where(gone.of(file, row) < 0)
+    return docs.where(gone.of(file, row).isNull())

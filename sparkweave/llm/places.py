@@ -16,54 +16,66 @@ import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import scratch, stored, tidy
 
-CHUNK_BITS = 12  # rows of a file that are looked up together, as a power of two
+#: Rows of a file that are looked up together, as a power of two: a task that reads a file split of ordinary
+#: size makes a few requests, not one for every batch.
+CHUNK_BITS = 16
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 16, 64
 
 
-def located(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """The table, a hash of a row's file and its number there; what isn't a plain scan of Parquet files is stored first."""
+def scanned(docs: DataFrame, name: str = "scanned") -> tuple[DataFrame, Column, Column]:
+    """The table, the path of a row's file and its number there.
+
+    What isn't a plain scan of Parquet files, or lists a file more than once, is stored first: file and row
+    must tell every row from all others.
+    """
     for table in (docs, None):
-        table = table if table is not None else stored(docs, "located")
-        if table._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-            told = table.metadataColumn("_metadata")
-            if "row_index" in table.select(told).schema[0].dataType.names:
-                return table, F.xxhash64(told["file_path"]), told["row_index"]
+        table = table if table is not None else stored(docs, name)
+        plan = table._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        told = table.metadataColumn("_metadata")
+        if "row_index" not in table.select(told).schema[0].dataType.names:
+            continue
+        files = list(plan.relation().location().inputFiles())
+        if len(set(files)) == len(files):
+            return table, told["file_path"], told["row_index"]
     raise ValueError("rows of stored tables must have numbers")
 
 
+def located(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The table, a hash of a row's file and its number there; both together are unique."""
+    table, path, row = scanned(docs, "located")
+    return table, F.xxhash64(path), row
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """The table and the number of each row in the order in which it was written: by file name and row."""
-    for table in (docs, None):
-        table = table if table is not None else stored(docs, "numbered")
-        if table._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-            told = table.metadataColumn("_metadata")
-            if "row_index" in table.select(told).schema[0].dataType.names:
-                break
-    else:
-        raise ValueError("rows of stored tables must have numbers")
-    name = told["file_path"]
-    sizes = table.select(name.alias("file")).groupBy("file").count().orderBy("file").collect()
+    """The table and the number of each row in the order in which it was written: by file name and row.
+
+    The driver holds one number a file.
+    """
+    table, path, row = scanned(docs, "numbered")
+    sizes = table.select(path.alias("file")).groupBy("file").count().orderBy("file").collect()
     starts, at = [], 0
     for r in sizes:
         starts.append((r["file"], at))
         at += r["count"]
     begun = F.create_map(*(F.lit(x) for pair in starts for x in pair)) if starts else F.create_map(F.lit(""), F.lit(0))
-    return table, begun[name].cast("long") + told["row_index"]
+    return table, begun[path].cast("long") + row
 
 
 class Values:
-    """A value of 0 or more for some rows of a table."""
+    """Whole numbers, one in each of these columns, for some rows of a table."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.path, self.buckets = scratch(spark, name), LEAST_BUCKETS
+    def __init__(self, spark: SparkSession, name: str, columns: tuple[str, ...] = ("value",)):
+        self.path, self.buckets, self.columns = scratch(spark, name), LEAST_BUCKETS, columns
 
     def write(self, found: DataFrame) -> Values:
-        """Rows (file, row, value), one for a file and row."""
+        """Rows (file, row, columns), one for a file and row; best of a stored table, as they are counted first."""
         self.buckets = max(LEAST_BUCKETS, -(-found.count() // BUCKET_ROWS))
         chunk = F.shiftright("row", CHUNK_BITS)
-        keyed = found.select("file", chunk.alias("chunk"), "row", F.col("value").cast("long"), self._bucket(F.col("file"), F.col("row")).alias("bucket"))
+        keyed = found.select("file", chunk.alias("chunk"), "row", *(F.col(c).cast("long") for c in self.columns), self._bucket(F.col("file"), F.col("row")).alias("bucket"))
         keyed.repartition("bucket").write.partitionBy("bucket").parquet(self.path)
         return self
 
@@ -71,34 +83,44 @@ class Values:
         return F.pmod(F.xxhash64(file, F.shiftright(row, CHUNK_BITS)), F.lit(self.buckets)).cast("int")
 
     def of(self, file: Column, row: Column) -> Column:
-        """The row's value, or -1."""
-        path = self.path
-
-        @F.arrow_udf("long")
+        """The row's value, or a struct if there are several columns; null if it has none."""
+        path, names = self.path, list(self.columns)
+
+        def batch(bucket: np.ndarray, files: np.ndarray, numbers: np.ndarray, seen: list) -> pa.Array:
+            out, none = np.zeros((len(names), len(files)), np.int64), np.ones(len(files), bool)
+            chunks = numbers >> CHUNK_BITS
+            begins = np.flatnonzero(np.r_[True, (files[1:] != files[:-1]) | (chunks[1:] != chunks[:-1])]) if len(files) else []
+            for begin, end in zip(begins, [*begins[1:], len(files)], strict=True):
+                key = (int(bucket[begin]), int(files[begin]), int(chunks[begin]))
+                if not seen or seen[0] != key:
+                    seen[:] = [key, _chunk(path, names, *key)]
+                rows = seen[1][0]
+                if len(rows):
+                    spot = np.minimum(np.searchsorted(rows, numbers[begin:end]), len(rows) - 1)
+                    out[:, begin:end], none[begin:end] = seen[1][1:, spot], rows[spot] != numbers[begin:end]
+            if len(names) == 1:
+                return pa.array(out[0], mask=none)
+            return pa.StructArray.from_arrays([pa.array(x) for x in out], names, mask=pa.array(none))
+
+        @F.arrow_udf("long" if len(names) == 1 else "struct<" + ", ".join(f"{c}: long" for c in names) + ">")
         def values(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            store, at = pyarrow.fs.FileSystem.from_uri(path)
-            known, rows, told = None, None, None
-            for bucket, files, numbers in batches:
-                files, numbers, bucket = files.to_numpy(), numbers.to_numpy(), bucket.to_numpy()
-                out = np.full(len(files), -1, np.int64)
-                chunks = numbers >> CHUNK_BITS
-                begins = np.flatnonzero(np.r_[True, (files[1:] != files[:-1]) | (chunks[1:] != chunks[:-1])]) if len(files) else []
-                for begin, end in zip(begins, [*begins[1:], len(files)], strict=True):
-                    key = (int(bucket[begin]), int(files[begin]), int(chunks[begin]))
-                    if key != known:
-                        select = pyarrow.fs.FileSelector(f"{at}/bucket={key[0]}", allow_not_found=True)
-                        parts = [
-                            pyarrow.parquet.read_table(f.path, filesystem=store, partitioning=None, columns=["row", "value"], filters=[("file", "=", key[1]), ("chunk", "=", key[2])])
-                            for f in store.get_file_info(select)
-                            if f.path.endswith(".parquet")
-                        ]
-                        rows = np.concatenate([p["row"].to_numpy() for p in parts] or [np.empty(0, np.int64)])
-                        told = np.concatenate([p["value"].to_numpy() for p in parts] or [np.empty(0, np.int64)])
-                        order = np.argsort(rows)
-                        known, rows, told = key, rows[order], told[order]
-                    if len(rows):
-                        spot = np.minimum(np.searchsorted(rows, numbers[begin:end]), len(rows) - 1)
-                        out[begin:end] = np.where(rows[spot] == numbers[begin:end], told[spot], -1)
-                yield pa.array(out)
+            seen: list = []
+            for columns in batches:
+                yield batch(*(c.to_numpy() for c in columns), seen)
+            tidy()
 
         return values(self._bucket(file, row), file, row)
+
+
+def _chunk(path: str, names: list[str], bucket: int, file: int, chunk: int) -> np.ndarray:
+    """The numbers of the chunk's rows, ascending, and beneath them their values."""
+    store, at = pyarrow.fs.FileSystem.from_uri(path)
+    parts = [np.empty((1 + len(names), 0), np.int64)]
+    for f in store.get_file_info(pyarrow.fs.FileSelector(f"{at}/bucket={bucket}", allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as held:
+                table = pyarrow.parquet.ParquetFile(held).read(["file", "chunk", "row", *names], use_threads=False)
+            told = np.array([table.column(c).to_numpy() for c in table.column_names])
+            parts.append(told[2:, (told[0] == file) & (told[1] == chunk)])
+    told = np.concatenate(parts, axis=1)
+    return told[:, np.argsort(told[0])]

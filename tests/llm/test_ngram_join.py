@@ -79,3 +79,26 @@ def test_overlaps():
     sets = [np.unique(rng.integers(0, 400, 150).astype(np.uint64)) for _ in range(12)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert (ngram_join.overlaps(sets, sets, width=64) == want).all()
+
+
+def all_links(texts):
+    """Linked documents of each text, by comparing all pairs of sets."""
+    sets = [ngram_join.shingles((t or "").encode()) for t in texts]
+    size = np.array([len(x) for x in sets])
+    found = np.zeros(len(sets), int)
+    for i in range(0, len(sets), 500):
+        common = ngram_join.overlaps(sets[i : i + 500], sets)
+        link = (5 * common >= 4 * (size[i : i + 500, None] + size[None, :] - common)) & (common > 0)
+        found[i : i + 500] = link.sum(1) - (size[i : i + 500] > 0)
+    none = (size == 0).sum()
+    return np.where(size > 0, found, none - 1)
+
+
+def test_recall_on_a_thousand_texts(spark):
+    """Links between different sets that are lost, of all there are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    want = dict(zip([r.doc_id for r in rows], all_links([r.text for r in rows]), strict=True))
+    got = {r.doc_id: r.n_links for r in ngram_join.join(docs).collect()}
+    assert len(want) >= 900 and got.keys() == want.keys()
+    assert sum(got.values()) == sum(want.values()) > 100 and got == want
