@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith
 
-from .common import scratch, stored
+from sparkweave.functions.skew import joined
+
+from .common import scratch, stored, tidied
+from .places import Values, located
 
 #: Payloads from this size on are archived once.
 REVISIT_LEAST = 1000
@@ -100,22 +103,26 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
     A null body is an empty payload. Of the records with equal payloads of at least REVISIT_LEAST bytes
     the one with the largest id is a response and the others revisit it without a payload; rows that share
     that id are all responses, and so are all rows if none of the group has an id. A null id gives the
-    name ``urn:page:``, a null url no target. Rows are written where they lie, in any order.
+    name ``urn:page:``, a null url no target. Rows are written where they lie, in any order: only digests
+    and ids of payloads from REVISIT_LEAST bytes on are shuffled, no payload is.
     """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
+    pages, file, row = located(pages)
     body = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("uri"), body.alias("payload"))
-    rows = rows.select("id", "uri", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
-    copies = rows.where(F.col("size") >= REVISIT_LEAST).groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = rows.join(copies, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    size = F.octet_length(body).cast("long")
+    large = stored(pages.where(size >= REVISIT_LEAST).select(F.col(id_col).cast("long").alias("id"), file.alias("file"), row.alias("row"), F.sha1(body).alias("digest")), "warc-digests")
+    copies = stored(large.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL"), "warc-copies")
+    revisits = joined(large, copies, "digest", "n", large.count()).where("NOT id <=> first").select("file", "row", F.col("first").alias("value"))
+    first = Values(spark, "warc-first").write(stored(revisits, "warc-revisits")).of(file, row)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("uri"), body.alias("payload"), first.alias("first"))
+    again = F.col("first").isNotNull()
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    told = marked.select(
-        F.when(again, "revisit").otherwise("response").alias("kind"), name("id").alias("name"), "uri", "digest", "size",
-        F.when(again, name("first")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"),
+    told = rows.select(
+        F.when(again, "revisit").otherwise("response").alias("kind"), name("id").alias("name"), "uri", F.sha1("payload").alias("digest"),
+        F.octet_length("payload").cast("long").alias("size"), F.when(again, name("first")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"),
     )
-    done = stored(told.mapInArrow(_writer(folder), "path string, records long, bytes long"), "warc-manifest")
+    done = stored(told.mapInArrow(tidied(_writer(folder)), "path string, records long, bytes long"), "warc-manifest")
     return sorted(r.path for r in done.select("path").collect())
 
 
@@ -290,10 +297,17 @@ def _member(f, at: int, start: bytes, wanted, payloads: bool) -> Iterator[dict]:
 
 
 def read(spark: SparkSession, files: list[str], payloads: bool = True) -> DataFrame:
-    """The records of these files, by the data source, with filters pushed down."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("files", json.dumps(files)).option("payloads", str(payloads).lower()).load()
+    """The records of these files, by the data source.
+
+    Filters are pushed down in a session of its own that has this switched on; the caller's settings stay.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    own.dataSource.register(WarcSource)
+    return own.read.format("warc").option("files", json.dumps(files)).option("payloads", str(payloads).lower()).load()
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
