@@ -12,13 +12,14 @@ from bisect import bisect_left, insort
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RUN, stored
+from .common import SPACE, SPACE_RUN, stored, tidy
 
 CAPACITY = 4096
 SHARD_ROWS = 8192
+ALIKE = 64  # rows that no column tells apart go to one shard in such numbers
 
 
 def n_tokens(text: Column) -> Column:
@@ -76,17 +77,18 @@ def pack(items: list[tuple[int, int, object, object]], capacity: int) -> list[tu
 def _packed(capacity: int):
     def shard(table: pa.Table) -> pa.Table:
         number = table.column("shard")[0].as_py()
-        rows = {c: table.column(c).to_pylist() for c in ("locator", "id", "size", "source", "cluster")}
-        place = {locator: i for i, locator in enumerate(rows["locator"])}
-        items = list(zip(rows["locator"], rows["size"], rows["source"], rows["cluster"], strict=True))
+        table = table.sort_by([(c, "ascending") for c in ("locator", "id", "size", "source", "cluster")])
+        ids = table.column("id").to_pylist()
+        items = list(zip(range(len(ids)), *(table.column(c).to_pylist() for c in ("size", "source", "cluster")), strict=True))
         packed = pack(items, capacity)
         # bins are numbered by the first of their documents
         first: dict[int, int] = {}
         for k, _, b, _, _ in packed:
             first[b] = min(first.get(b, k), k)
         turn = {b: i for i, b in enumerate(sorted(first, key=lambda b: (first[b], b)))}
-        found = [(rows["id"][place[k]], piece, (number << 32) + turn[b], at, size) for k, piece, b, at, size in packed]
+        found = [(ids[k], piece, (number << 32) + turn[b], at, size) for k, piece, b, at, size in packed]
         names = ["id", "piece", "bin_id", "bin_offset", "n_tokens"]
+        tidy()
         return pa.table([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names)
 
     return shard
@@ -101,16 +103,21 @@ def best_fit(
     and no two of a source, so a source with a large share of the documents leaves bins part empty. Null
     and empty texts are one separator long; a null source is a source; null ids pass through; repeated rows are packed each, in
     different bins; longer texts than a bin are cut into pieces and kept whole; an empty table gives
-    none; other columns are dropped whatever their names.
+    none; other columns are dropped whatever their names. The result rests on the rows alone, not on how they
+    lie: shards are dealt by a hash of id, text and source, and of rows alike in these by their count.
 
     With ``order``, numbers from 0 up without gaps, a shard is a run of it and bins are numbered along it.
     """
     own = cluster if cluster is not None else F.xxhash64(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN, " "))
-    items = docs.select(F.col(id_col).cast("long").alias("id"), n_tokens(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), own.alias("cluster"), (F.monotonically_increasing_id() if order is None else order).alias("locator"))
+    items = docs.select(F.col(id_col).cast("long").alias("id"), n_tokens(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), own.alias("cluster"), (F.xxhash64(id_col, text_col, source_col) if order is None else order).alias("locator"))
     items = stored(items, "packing-items")
     n = items.count()
     shards = max(1, -(-n // shard_rows))
-    shard = F.pmod(F.xxhash64("locator", F.lit("shard")), F.lit(shards)) if order is None else F.floor(F.col("locator") / shard_rows)
+    if order is None:  # rows alike would all meet in one shard
+        alike = F.floor(F.row_number().over(Window.partitionBy("locator").orderBy("id", "size", "source", "cluster")) / ALIKE)
+        shard = F.pmod(F.xxhash64("locator", alike), F.lit(shards))
+    else:
+        shard = F.floor(F.col("locator") / shard_rows)
     dealt = items.select("locator", "id", "size", "source", "cluster", shard.alias("shard"))
     packed = dealt.groupBy("shard").applyInArrow(_packed(capacity), "id long, piece long, bin_id long, bin_offset long, n_tokens long")
     return packed.withColumnRenamed("id", id_col)

@@ -76,3 +76,10 @@ def test_a_source_once_in_a_bin(spark):
     for r in packing.best_fit(docs, capacity=128, shard_rows=200).collect():
         bins.setdefault(r.bin_id, []).append(source[r.doc_id])
     assert sum(map(len, bins.values())) == 600 and all(len(set(b)) == len(b) for b in bins.values())
+
+
+def test_the_result_rests_on_the_rows_alone(spark):
+    rows = [(i % 900, "w " * (i * 37 % 90), f"s{i % 11}") for i in range(1000)] + [(7, "same", "s")] * 300 + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = [sorted(map(str, packing.best_fit(d, capacity=128, shard_rows=200).collect())) for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy("text"))]
+    assert told[0] == told[1] == told[2]
