@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date")
 ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -237,4 +239,4 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     fields = ", ".join(["id long", "text string", *(f"n_{k} long" for k in KINDS)])
-    return named.mapInArrow(rows, fields).withColumnsRenamed({"id": id_col, "text": text_col})
+    return named.mapInArrow(tidied(rows), fields).withColumnsRenamed({"id": id_col, "text": text_col})

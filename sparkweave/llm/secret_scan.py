@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
+from .common import tidied
 
 
 @dataclass(frozen=True)
@@ -161,4 +162,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     scanner = Scanner(rules)
     fields = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in scan_schema(rules))
     keyed = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("binary").alias("data"))
-    return keyed.mapInArrow(lambda batches: _digest_rows(scanner, batches), fields).withColumnRenamed("row", id_col)
+    return keyed.mapInArrow(tidied(lambda batches: _digest_rows(scanner, batches)), fields).withColumnRenamed("row", id_col)

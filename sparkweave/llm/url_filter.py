@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidied
 
 # The rules, as verdict, host and path.
 RULES = (
@@ -156,7 +156,7 @@ def values(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
     """The rows, which have a block and a url, with their score for the url: the mean over its characters."""
-    asked = stored(urls.select("block", "url").mapInArrow(_asked, "block long, gram string"), "url-asked")
+    asked = stored(urls.select("block", "url").mapInArrow(tidied(_asked), "block long, gram string"), "url-asked")
     told = asked.join(values(counts, asked.select("gram").distinct()), "gram")
     names = [c for c in urls.columns if c not in ("block", "url")]
 
@@ -198,7 +198,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     ruled = stored(parsed.select("*", rule.alias("rule"), verdict.alias("ruled"), held.alias("held"), number.alias("block")), "url-ruled")
     train = ruled.where("ruled IS NOT NULL AND NOT held").select((F.col("ruled") == "allow").alias("good"), "url")
     n = lambda good: F.sum(F.when(F.col("good") == good, F.col("n")).otherwise(0))
-    counts = stored(train.mapInArrow(_counted, "good boolean, gram string, n long").groupBy("gram").agg(n(True).alias("good"), n(False).alias("bad")), "url-grams")
+    counts = stored(train.mapInArrow(tidied(_counted), "good boolean, gram string, n long").groupBy("gram").agg(n(True).alias("good"), n(False).alias("bad")), "url-grams")
     plain = ruled.where("ruled IS NOT NULL").drop("url", "block", "held").withColumn("score", F.lit(None).cast("double"))
     most = counts.agg(F.max("good"), F.max("bad")).first()
     if not all(most):

@@ -47,3 +47,17 @@ def test_all_grams_count(spark):
     for i, u in enumerate(rest, len(train)):
         a, b = (sum(math.log(m.chance(g[:-1], g[-1])) for g in url_filter.needed(url_filter.letters(u))) for m in models)
         assert math.isclose(got[i], (a - b) / (len(url_filter.letters(u)) - 1), abs_tol=1e-9)
+
+
+def test_long_repeated_and_null(spark):
+    rows = [(i, f"http://a.com/{'ab' * (i % 40)}") for i in range(200)] + [(i, f"http://a.net/es/{'xy' * (i % 40)}") for i in range(200, 400)]
+    odd = [(400, "http://b.org/" + "ab" * 50_000), (400, "http://b.org/" + "ab" * 50_000), (None, "http://b.org/abab"), (401, None), (402, ""), (402, ""), (403, "\u00e9\n://\u00e9")]
+    docs = spark.createDataFrame(rows + odd, "page_id long, url string")
+    got = url_filter.judge(docs).collect()
+    assert len(got) == len(rows) + len(odd)
+    same = [r for r in got if r.page_id == 400]
+    assert len(same) == 2 and same[0] == same[1] and same[0].verdict == "allow" and same[0].host == "b.org"
+    assert all(r.verdict in ("allow", "block") and (r.score is None) == (r.rule is not None) for r in got)
+    assert sorted((r.page_id, r.host, r.path) for r in got if r.page_id and r.page_id > 400) == [(401, "", ""), (402, "", ""), (402, "", ""), (403, "\u00e9", "")]
+    only = url_filter.judge(spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.org/y")], "page_id long, url string")).collect()
+    assert {r.page_id: (r.verdict, r.score) for r in only} == {1: ("allow", None), 2: ("allow", None)}
