@@ -28,7 +28,7 @@ OPTIONS = {
     "dropout-rate": (float, 0.0), "dropout-seed": (int, 0), "force": (bool, False), "help": (bool, False), "laplacian": (str, ""), "bisection": (str, "sweep"), "dense-threshold": (int, 256),
     "lanczos-basis": (int, 0), "kmeans-restarts": (int, 20), "kmeans-max-iterations": (int, 300), "eigensolver-tolerance": (float, 1e-9), "max-eigensolver-residual": (float, 1e-4),
     "gn-max-n": (int, 1000), "gn-max-m": (int, 10_000), "gn-random-ties": (bool, False), "spectral-max-edge-visits": (int, 2_000_000_000), "spectral-max-orthogonalization-ops": (int, 5_000_000_000),
-    "lpa-synchronous": (bool, False), "lpa-smallest-tie": (bool, False), "max-iterations": (int, 100),
+    "lpa-synchronous": (bool, False), "lpa-smallest-tie": (bool, False), "max-iterations": (int, 100), "louvain-driver-edges": (int, 0), "spectral-matrix": (str, "driver"),
 }
 DIAGNOSTICS = "map<string,double>"
 
@@ -86,10 +86,10 @@ def configured(o: dict):
         return spectral.Config(
             num_communities=o["k"], laplacian=o["laplacian"] or spectral.NORMALIZED, bisection=o["bisection"], kmeans_restarts=o["kmeans-restarts"], kmeans_max_iterations=o["kmeans-max-iterations"], seed=o["seed"],
             dense_solver_threshold=o["dense-threshold"], lanczos_basis_size=o["lanczos-basis"], eigensolver_tolerance=o["eigensolver-tolerance"], maximum_eigensolver_residual=o["max-eigensolver-residual"],
-            max_edge_visits=o["spectral-max-edge-visits"], max_orthogonalization_ops=o["spectral-max-orthogonalization-ops"], force=o["force"],
+            max_edge_visits=o["spectral-max-edge-visits"], max_orthogonalization_ops=o["spectral-max-orthogonalization-ops"], force=o["force"], matrix=o["spectral-matrix"],
         )
     if o["algorithm"] == "louvain":
-        return louvain.Config(resolution=o["resolution"], seed=o["seed"])
+        return louvain.Config(resolution=o["resolution"], seed=o["seed"], driver_edges=o["louvain-driver-edges"])
     if o["algorithm"] == "label_propagation":
         return label_propagation.Config(max_iterations=o["max-iterations"], asynchronous=not o["lpa-synchronous"], random_ties=not o["lpa-smallest-tie"], seed=o["seed"])
     raise GraphError(f"no such algorithm: {o['algorithm']}")

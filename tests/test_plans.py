@@ -99,7 +99,7 @@ def test_from_raw_data_to_tables(spark, tmp_path, capsys):
     (tmp_path / "toy.gml").write_text(GML)
     (tmp_path / "datasets.json").write_text(json.dumps({"output_dir": "processed", "samples": [{"name": "tiny", "size": 4, "seeds": [17]}], "datasets": [{"name": "toy", "format": "gml", "path": "toy.gml", "largest_component": True}]}))
     config = {
-        "manifest": "processed/manifest.json", "output_dir": "results", "dataset_settings": {"toy": {"spectral_k": [2], "girvan_newman_k": [2]}}, "algorithm_options": {"spectral": {"laplacian": "normalized"}, "label_propagation": {"lpa_synchronous": True}},
+        "manifest": "processed/manifest.json", "output_dir": "results", "dataset_settings": {"toy": {"spectral_k": [2], "girvan_newman_k": [2]}}, "algorithm_options": {"spectral": {"laplacian": "normalized"}, "label_propagation": {"lpa_synchronous": True}, "louvain": {"louvain_driver_edges": 100}},
         "protocols": [
             {"name": "smoke", "scope": "full", "algorithms": ALL[:3], "algorithm_seeds": {"girvan_newman": [42], "spectral": [11, 37], "louvain": [11]}, "dropout": [{"rate": 0.0, "seeds": [0]}]},
             {"name": "shaken", "scope": "full", "algorithms": ["label_propagation"], "algorithm_seeds": {"label_propagation": [11]}, "dropout": [{"rate": 0.0, "seeds": [0]}, {"rate": 0.4, "seeds": [123]}]},
