@@ -38,12 +38,19 @@ def scanned(docs: DataFrame, name: str = "scanned") -> tuple[DataFrame, Column,
         told = table.metadataColumn("_metadata")
         if "row_index" not in table.select(told).schema[0].dataType.names:
             continue
-        files = list(plan.relation().location().inputFiles())
-        if len(set(files)) == len(files):
+        given = plan.relation().location().rootPaths()
+        roots = [given.apply(i).toString().rstrip("/") for i in range(given.size())]
+        if len(set(roots)) == len(roots) and not any(set(roots) & set(_above(r)) for r in roots):
             return table, told["file_path"], told["row_index"]
     raise ValueError("rows of stored tables must have numbers")
 
 
+def _above(path: str) -> list[str]:
+    """The folders that a path lies in."""
+    parts = path.split("/")
+    return ["/".join(parts[:k]) for k in range(1, len(parts))]
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
     """The table, a hash of a row's file and its number there; both together are unique."""
     table, path, row = scanned(docs, "located")

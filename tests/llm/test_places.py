@@ -34,8 +34,10 @@ def test_what_is_no_scan_is_stored(spark):
 def test_a_file_that_is_listed_twice(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l")], "doc_id long, text string").coalesce(1).write.parquet(path)
-    docs = spark.read.parquet(path, path)
-    assert docs.count() == 6
+    part = next(r.f for r in spark.read.parquet(path).selectExpr("_metadata.file_path AS f").collect())
+    for twice in ((path, path), (path, part)):
+        docs = spark.read.parquet(*twice)
+        assert docs.count() == 6 and located(docs)[0].inputFiles() != docs.inputFiles()
     table, file, row = located(docs)
     assert len({tuple(r) for r in table.select(file.alias("a"), row.alias("b")).collect()}) == 6
     table, number = numbered(docs)
