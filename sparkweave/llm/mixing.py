@@ -1,182 +1,164 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-A source's documents form blocks. Block j of a source with weight w is released at slot floor(j / w) and
-due by slot ceil((j + 1) / w); at every slot the released block with the earliest deadline is placed, so
-that no source is ever a whole block ahead of or behind its share. When a source has no blocks left, a
-new phase begins with the weights of the others. Weights are exact fractions. A phase is cut into pieces
-of PERIOD slots, and each source goes on from one to the next where it was; every block has its slot in them.
+A source's documents form blocks. In the ideal mixture every source that has blocks left gives parts of them at
+a rate in proportion to its weight. Block j is released at the slot in which the ideal mixture begins with it, and
+due by the end of that in which it ends; at every slot the released block with the earliest deadline is placed. No
+source is then ever a whole block ahead of or behind its ideal share, also when others have run out.
+
+Weights are whole numbers. Whenever a unit of weight has given a whole number of blocks, all sources have, so what
+is placed by then is settled and the slots from one such time to another are a piece that is scheduled independently
+of all others: blocks, slots and ranks are distributed tables. Weights without a common measure make long pieces.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import islice
-from math import lcm
+from itertools import accumulate, islice
+from math import ceil, gcd, lcm
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import passing, stored
 from .places import Values, located
 
 BLOCK = 16  # documents
-PERIOD = 1000  # slots in a piece of a phase
+PERIOD = 1 << 16  # slots in a piece, as near as the weights allow
 TEMPERATURE = 0.5
-MOST_SOURCES = 500
-BUCKETS = 512  # parts in which a source's documents are ranked
-
-
-def whole_weights(weights: dict, period: int) -> dict:
-    """Parts of the period by largest remainders, one at least, so that they sum to it."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (exact[s] - int(exact[s]), str(s)), reverse=True)
-    at = 0
-    while sum(parts.values()) < period:
-        parts[order[at % len(order)]] += 1
-        at += 1
-    while sum(parts.values()) > period:
-        parts[max(parts, key=lambda s: (parts[s], str(s)))] -= 1
-    return parts
-
-
-def exact_weights(weights: dict) -> dict:
-    """Whole numbers in exactly the proportion of the weights."""
-    exact = {s: Fraction(w) for s, w in weights.items()}
-    scale = lcm(*(w.denominator for w in exact.values()))
-    return {s: int(w * scale) for s, w in exact.items()}
-
-
-def turns(parts: dict) -> Iterator:
-    """The source of every slot, without end, by earliest deadline first."""
-    period = sum(parts.values())
-    names = sorted(parts, key=str)
-    waiting = [(0, -(-period // parts[s]), i, 0) for i, s in enumerate(names)]  # release, deadline, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple] = []
-    at = 0
-    while True:
-        while waiting and waiting[0][0] <= at:
-            _, due, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, i, j))
-        due, i, j = heapq.heappop(ready)
-        s, j = names[i], j + 1
-        if due <= at:
-            raise AssertionError("a deadline was missed")
-        yield s
-        heapq.heappush(waiting, (j * period // parts[s], -(-(j + 1) * period // parts[s]), i, j))
-        at += 1
-
-
-def edf(parts: dict, period: int) -> dict:
-    """For every source the slots of its blocks in the first ``period``."""
-    slots: dict = {s: [] for s in parts}
-    for at, s in enumerate(islice(turns(parts), period)):
-        slots[s].append(at)
-    return slots
-
-
-def plan(blocks: dict, weights: dict, period: int = PERIOD) -> dict:
-    """For each source the pieces of its phases as (first block, first slot, slots, length); blocks: how many it has."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    found: dict = {s: [] for s in left}
-    start = 0
-    while left:
-        order = turns(exact_weights({s: weights[s] for s in left}))
-        while True:
-            slots: dict = {s: [] for s in left}
-            out = False
-            for at in range(period):
-                s = next(order)
-                slots[s].append(at)
-                if len(slots[s]) == left[s]:
-                    out = True
-                    break
-            for t, own in slots.items():
-                if own:
-                    found[t].append((done[t], start, np.array(own), at + 1))
-                done[t] += len(own)
-                left[t] -= len(own)
-            start += at + 1
-            if out:
-                del left[s]
-                break
-    return found
-
-
-def slot(phases: list, block: int) -> int:
-    first, start, slots, _ = phases[bisect_right([p[0] for p in phases], block) - 1]
-    j = block - first
-    return start + int(slots[j])
-
-
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, also: dict[str, Column] | None = None) -> tuple[DataFrame, dict]:
-    """(id, source, block, slot, position, and the columns ``also``) for every row, and the plan of slots.
-
-    Without weights a source's weight is its number of rows to the power TEMPERATURE. Rows of a source come
+#: The names, weights and sizes of the sources go to the driver and every task, at most so many of them.
+MOST_SOURCES = 100_000
+BUCKET_ROWS = 1 << 12  # about so many documents of a source are ranked together
+
+
+def exact_weights(weights: list) -> list[int]:
+    """The least whole numbers in exactly the proportion of the weights; floats are what they are written as."""
+    exact = [Fraction(str(w)) if isinstance(w, float) else Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    least = gcd(*whole) or 1
+    return [w // least for w in whole]
+
+
+class Plan:
+    """The ideal mixture of sources with so many blocks and such weights, and the schedule of any piece of it.
+
+    Its clock is what a unit of weight has given; slots are a function of it.
+    """
+
+    def __init__(self, blocks: list[int], weights: list, period: int = PERIOD):
+        self.blocks, self.weights = blocks, exact_weights(weights)
+        order = sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], self.weights[s]))
+        self.ends = [Fraction(blocks[s], self.weights[s]) for s in order]  # when sources run out
+        self.given = [0, *accumulate(blocks[s] for s in order)]  # blocks of those that have
+        self.weight = list(accumulate((self.weights[s] for s in reversed(order)), initial=0))[::-1]  # of the others
+        self.firsts, self.begins, self.steps, self.pieces, at = [], [], [], 0, 0
+        for end, weight in zip(self.ends, self.weight, strict=False):
+            if (last := ceil(end)) > at:
+                step = -(-period // weight)
+                self.firsts.append(self.pieces)
+                self.begins.append(at)
+                self.steps.append((step, last))
+                self.pieces, at = self.pieces - (at - last) // step, last
+
+    def slots(self, blocks: int, weight: int) -> tuple[int, int]:
+        """The slots until a source of this weight has given so many blocks, as a fraction."""
+        i = bisect_left(self.ends, Fraction(blocks, weight))
+        return self.given[i] * weight + blocks * self.weight[i], weight
+
+    def window(self, source: int, block: int) -> tuple[int, int]:
+        """The slots from the first to before the second are open to the block."""
+        n, d = self.slots(block, self.weights[source])
+        m, _ = self.slots(block + 1, self.weights[source])
+        return n // d, -(-m // d)
+
+    def piece(self, number: int) -> Iterator[tuple[int, int, int]]:
+        """(source, block, slot) of every slot of a piece, by earliest deadline first."""
+        i = bisect_right(self.firsts, number) - 1
+        step, last = self.steps[i]
+        begin = self.begins[i] + (number - self.firsts[i]) * step
+        end = min(last, begin + step)
+        waiting: list[tuple[int, int, int, int]] = []  # release, deadline, source, block
+        ready: list[tuple[int, int, int]] = []
+
+        def wait(s: int, j: int) -> None:
+            if j < min(self.blocks[s], self.weights[s] * end):
+                release, due = self.window(s, j)
+                heapq.heappush(waiting, (release, due, s, j))
+
+        for s, w in enumerate(self.weights):
+            wait(s, w * begin)
+        for t in range(self.slots(begin, 1)[0], self.slots(end, 1)[0]):
+            while waiting and waiting[0][0] <= t:
+                heapq.heappush(ready, heapq.heappop(waiting)[1:])
+            due, s, j = heapq.heappop(ready)
+            if due <= t:
+                raise AssertionError("a deadline was missed")
+            yield s, j, t
+            wait(s, j + 1)
+
+
+def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, also: dict[str, Column] | None = None) -> DataFrame:
+    """(id, source, block, slot, position, and the columns ``also``) for every row.
+
+    Without weights a source's weight is its number of rows to the power TEMPERATURE, rounded. Rows of a source come
     in the order of a hash of the id (then the id; of rows alike, any order); ``block`` rows form a block and
     the last one may be smaller. Null sources are one source, null ids are ranked like others, repeated
-    rows count each, an empty table gives none. A source without a weight raises ValueError, and so do
-    more than MOST_SOURCES sources, whose tables would no longer be small.
+    rows count each, an empty table gives none. A source without a weight above 0 raises ValueError, and so do
+    more than MOST_SOURCES sources.
     """
+    spark, more = docs.sparkSession, list(also or {})
     keyed = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), *(c.alias(n) for n, c in (also or {}).items()))
-    keyed = keyed.withColumn("order", F.xxhash64("id", F.lit(seed)))
-    buckets = keyed.withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 20), F.lit(BUCKETS)))
-    sizes = buckets.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    told: dict = {}
-    for r in sizes.groupBy("source").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("parts")).limit(MOST_SOURCES + 1).collect():
-        told[r.source] = (r.n, np.array([r.parts.get(b, 0) for b in range(BUCKETS)]))
-    if len(told) > MOST_SOURCES:
+    counts = keyed.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    counts = {s: n for s, (n, _) in told.items()}
-    missing = [s for s in counts if weights is not None and weights.get(s, 0) <= 0]
+    counts = sorted(((r.source, r.n) for r in counts), key=lambda r: (r[0] is None, r[0]))
+    missing = [s for s, _ in counts if weights is not None and not weights.get(s, 0) > 0]
     if missing:
         raise ValueError(f"no weight for the sources {sorted(map(str, missing))[:5]}")
-    wanted = weights if weights is not None else {s: n**TEMPERATURE for s, n in counts.items()}
-    phases = plan({s: -(-n // block) for s, n in counts.items()}, wanted, period)
-    offsets = {s: np.concatenate([[0], np.cumsum(parts)[:-1]]) for s, (_, parts) in told.items()}
-    slots_of = {s: np.concatenate([start + slots for _, start, slots, _ in ps]) for s, ps in phases.items()}
-
-    @F.pandas_udf("struct<block long, slot long, position long>")
-    def placed(source, bucket, rank):
-        import pandas as pd
-
-        out = np.zeros((len(source), 3), np.int64)
-        names = source.to_numpy(dtype=object)
-        for s in set(names.tolist()) if len(names) else ():
-            own = np.flatnonzero(pd.isna(source).to_numpy() if s is None or s != s else names == s)
-            s = None if s is None or s != s else s
-            place = offsets[s][bucket.to_numpy()[own]] + rank.to_numpy()[own] - 1
-            b = place // block
-            out[own, 1] = slots_of[s][b]
-            out[own, 0], out[own, 2] = b, place % block
-        return pd.DataFrame(out, columns=["block", "slot", "position"])
-
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("source", "bucket").orderBy("order", "id", *(also or {}))
-    ranked = buckets.withColumn("rank", F.row_number().over(within))
-    return ranked.withColumn("at", placed("source", "bucket", "rank")).select("id", "source", "at.block", "at.slot", "at.position", *(also or {})), phases
+    plan = Plan([-(-n // block) for _, n in counts], [max(1, round(n**TEMPERATURE)) if weights is None else weights[s] for s, n in counts], period)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                placed = plan.piece(number)
+                while part := list(islice(placed, 1 << 16)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part, strict=True)], ["sid", "block", "slot"])
+
+    slots = spark.range(0, plan.pieces, 1, max(1, min(plan.pieces, 10_000))).mapInArrow(pieces, "sid long, block long, slot long")
+    hashed = lambda seed: F.xxhash64("source", F.lit(seed))
+    names = spark.createDataFrame([(s, i, -(-n // BUCKET_ROWS)) for i, (s, n) in enumerate(counts)], "source string, sid long, buckets long")
+    apart = next(k for k in range(100) if names.select(hashed(k)).distinct().count() == len(counts))  # so that a hash tells the sources apart
+    known = keyed.withColumn("key", hashed(apart)).join(F.broadcast(names.select(hashed(apart).alias("key"), "sid", "buckets")), "key").drop("key")
+    known = known.withColumn("order", F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1))
+    # a bucket is a range of the order, so a row's rank in its source is that in the bucket after all of those before
+    bucket = F.shiftright(F.shiftright("order", 31) * F.col("buckets"), 32)
+    known = known.withColumn("bucket", F.shiftleft("sid", 40) + bucket).drop("buckets")
+    sizes = known.groupBy("sid", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "id", *more))
+    placed = known.withColumn("rank", rank).join(before, "bucket").withColumn("place", F.col("before") + F.col("rank") - 1)
+    placed = placed.select("id", "source", F.expr(f"shiftleft(sid, 40) + place div {block}").alias("key"), F.expr(f"place div {block}").alias("block"), F.expr(f"place % {block}").alias("position"), *more)
+    return placed.join(slots.select((F.shiftleft("sid", 40) + F.col("block")).alias("key"), "slot"), "key").select("id", "source", "block", "slot", "position", *more)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, **settings) -> DataFrame:
     """One row per document in its place of the mixture: id, source, block, slot, position in the block."""
-    id_col = settings.get("id_col", "doc_id")
-    return schedule(docs, weights, **settings)[0].withColumnRenamed("id", id_col)
+    return schedule(docs, weights, **settings).withColumnRenamed("id", settings.get("id_col", "doc_id"))
 
 
 def in_order(docs: DataFrame, weights: dict | None = None, **settings) -> DataFrame:
-    """The documents, with all their columns, sorted into the order of the mixture; texts move once, for the sort."""
+    """The documents, with all their columns, sorted into the order of the mixture; texts move once, for the sort.
+
+    Nulls, repeated rows and empty tables are as in ``schedule``.
+    """
     docs, file, row = located(docs)
     spots = Values(docs.sparkSession, "mixing-places")
     with passing(docs.sparkSession):
-        places, _ = schedule(docs, weights, **settings, also={"file": file, "row": row})
+        places = schedule(docs, weights, **settings, also={"file": file, "row": row})
         value = F.col("slot") * settings.get("block", BLOCK) + F.col("position")
         spots.write(stored(places.select("file", "row", value.alias("value")), "mixing-slots"))
     return docs.orderBy(spots.of(file, row))
