@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkweave.llm import quality_model, quality_rules
@@ -63,6 +64,30 @@ def test_pairs_rank_on_a_bounded_sample():
     rng = np.random.default_rng(0)
     x = rng.random((400, len(quality_model.FEATURES)))
     good = x[:, 0] + 0.1 * rng.random(400) > 0.4
-    score = quality_model.fit(x, good).score(x)
+    hashed = np.zeros((400, 2 * quality_model.HASHED), np.float16)
+    score = quality_model.fit(x, hashed, good).score(x, hashed)
     assert ((score >= 0.5) == good).mean() > 0.9
-    assert zlib.crc32(b"1") % 3 in (0, 1, 2)
+
+
+def test_words_alone_tell():
+    """Texts of the same form whose words differ, and the hashed counts by hand."""
+    rng = np.random.default_rng(1)
+    some = lambda words: " ".join(rng.choice(words, 30))
+    texts = [some(["river", "stone", "cloud", "field"]) if i % 2 else some(["casino", "jackpo", "prizes", "clicks"]) for i in range(300)]
+    x, hashed = quality_model.described(pa.array(texts))
+    good = np.arange(300) % 2 == 1
+    score = quality_model.fit(x[:200], hashed[:200], good[:200]).score(x[200:], hashed[200:])
+    assert ((score >= 0.5) == good[200:]).all()
+    counts = np.zeros(quality_model.HASHED)
+    for w in {"a", "b"}:
+        counts[zlib.crc32(w.encode()) % quality_model.HASHED] += 1
+    want = np.sqrt(counts) / np.linalg.norm(np.sqrt(counts))
+    assert np.allclose(quality_model.lexical("A b a")[: quality_model.HASHED], want, atol=1e-3)
+    assert not quality_model.lexical(None).any() and not quality_model.lexical("").any() and len(quality_model.lexical("é")) == 2 * quality_model.HASHED
+
+
+def test_repeated_rows_train_once(spark):
+    docs = spark.createDataFrame([(i % 40, "good text of words here " * (i % 5 + 1) if i % 2 else "!!! ### spam") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once, often = quality_model.train(docs.limit(40), labels), quality_model.train(docs.dropDuplicates(), labels)
+    assert np.allclose(quality_model.train(docs, labels).weights, often.weights) and len(once.weights) == len(often.weights)
