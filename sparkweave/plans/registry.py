@@ -176,8 +176,9 @@ def lpa_sync(spark, sf_dir):
 
 @query("SELECT c_custkey AS node, (c_custkey // 10)::INT AS label FROM customer")
 def louvain_planted(spark, sf_dir):
+    """Node by node on the driver."""
     n = tables.read(spark, sf_dir, "customer").count()
-    return louvain.run(tables.planted(spark, sf_dir), louvain.Config(resolution=max(1.0, n / 750))).labels
+    return louvain.run(tables.planted(spark, sf_dir), louvain.Config(resolution=max(1.0, n / 750), driver_edges=200_000)).labels
 
 
 # nations: those of a region are linked with each other, and each region's first with that of the next one
@@ -229,7 +230,7 @@ def edge_betweenness_customers(spark, sf_dir):
 def louvain_bulk(spark, sf_dir):
     """No level moves on the driver."""
     n = tables.read(spark, sf_dir, "customer").count()
-    return louvain.run(tables.planted(spark, sf_dir), louvain.Config(resolution=max(1.0, n / 750), driver_edges=0)).labels
+    return louvain.run(tables.planted(spark, sf_dir), louvain.Config(resolution=max(1.0, n / 750))).labels
 
 
 @query(f"""WITH {RING}, deg AS (SELECT src AS node, sum(weight) AS degree FROM adj GROUP BY 1), pos AS (SELECT node, row_number() OVER (ORDER BY node) AS position, degree FROM deg),

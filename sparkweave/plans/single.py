@@ -7,7 +7,7 @@ import os
 import resource
 import time
 from math import isfinite
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +30,6 @@ OPTIONS = {
     "gn-max-n": (int, 1000), "gn-max-m": (int, 10_000), "gn-random-ties": (bool, False), "spectral-max-edge-visits": (int, 2_000_000_000), "spectral-max-orthogonalization-ops": (int, 5_000_000_000),
     "lpa-synchronous": (bool, False), "lpa-smallest-tie": (bool, False), "max-iterations": (int, 100), "louvain-driver-edges": (int, 0), "spectral-matrix": (str, "driver"),
 }
-DIAGNOSTICS = "map<string,double>"
 
 
 def number(text: str, kind: type, name: str) -> int | float:
@@ -116,7 +115,7 @@ def peak_rss_mb(spark: SparkSession) -> float | None:
     """The most memory that the driver's Python and its JVM have held; executors of a cluster are not in it."""
     own = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
     try:
-        told = open(f"/proc/{spark.sparkContext._jvm.ProcessHandle.current().pid()}/status").read()
+        told = Path(f"/proc/{spark.sparkContext._jvm.ProcessHandle.current().pid()}/status").read_text()
         return own + int(told.split("VmHWM:")[1].split()[0]) / 1024
     except (OSError, IndexError, ValueError):
         return own
@@ -139,13 +138,13 @@ def scored(spark: SparkSession, graph: Graph, o: dict, reference: DataFrame | No
     internal = metrics.partition_metrics(graph, result.labels, o["resolution"]).first().asDict(recursive=True)
     external = metrics.agreement(result.labels, reference).first().asDict() if reference is not None else None
     took = (time.perf_counter() - began) * 1000
-    names = {"coverage": "coverage", "ratio_cut": "ratio_cut", "normalized_cut": "normalized_cut", "modularity_q_gamma": "modularity_q_gamma", "singletons": "singletons", "isolated_nodes": "isolated_nodes"}
+    names = ("coverage", "ratio_cut", "normalized_cut", "modularity_q_gamma", "singletons", "isolated_nodes", "size_distribution", "density_distribution", "conductance_distribution")
     summary = {
         "schema_version": 1, "status": "ok", "dataset": o["dataset"] or PurePosixPath(o["graph"]).stem, "algorithm": o["algorithm"], "seed": o["seed"], "n": graph.num_nodes(), "m": graph.num_edges(),
         "requested_k": o["k"], "num_communities": internal["num_communities"], "elapsed_ms": result.elapsed_ms, "metrics_elapsed_ms": took, "peak_rss_mb": peak_rss_mb(spark), "objective": result.objective,
         "modularity_q1": result.modularity, "dropout": {"rate": o["dropout-rate"], "seed": o["dropout-seed"], "removed_edges": removed},
         "parameters": {"resolution": o["resolution"], "laplacian": o["laplacian"] or "not_applicable"},
-        "internal": {n: internal[k] for n, k in names.items()} | {f"{c}_distribution": internal[f"{c}_distribution"] for c in ("size", "density", "conductance")},
+        "internal": {n: internal[n] for n in names},
         "external": external, "diagnostics": dict(sorted(result.diagnostics.items())),
     }
     return result, metrics.community_table(graph, result.labels), plain(summary)
