@@ -50,15 +50,10 @@ def mask(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
 
 def _repeat_words(hashes: Column) -> Column:
     """Words in windows whose hash comes twice: sort (hash, place), keep places beside an equal hash, join their reach."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = F.filter(
-        F.transform(
-            F.arrays_zip(placed.alias("p"), F.slice(placed, 2, F.size(placed)).alias("q")),
-            lambda x: F.when(x["p"]["h"] == x["q"]["h"], F.array(x["p"]["i"], x["q"]["i"])),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    places = F.array_sort(F.array_distinct(F.flatten(twice)))
+    placed = F.sort_array(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), F.size(hashes) - 1).alias("i")))
+    beside = F.arrays_zip(placed.alias("p"), F.slice(placed, 2, F.size(placed)).alias("q"))
+    twice = F.transform(F.filter(beside, lambda x: x["p"]["h"] == x["q"]["h"]), lambda x: F.array(x["p"]["i"], x["q"]["i"]))
+    places = F.sort_array(F.array_distinct(F.flatten(twice)))
     start = F.struct(F.lit(0).alias("n"), F.lit(-N).alias("last"))
     return F.aggregate(
         places,
