@@ -91,3 +91,25 @@ def test_repeated_rows_train_once(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     once, often = quality_model.train(docs.limit(40), labels), quality_model.train(docs.dropDuplicates(), labels)
     assert np.allclose(quality_model.train(docs, labels).weights, often.weights) and len(once.weights) == len(often.weights)
+
+
+def test_all_labelled_rows_and_pairs_count(spark, monkeypatch):
+    """On the cluster and on the driver: the slope of the loss over all pairs, by hand, is next to none, and the threshold parts all rows."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["river", "stone", "cloud", "WIN", "##", "cash!"], 12, p=[0.25, 0.25, 0.2, 0.1, 0.1, 0.1] if i % 3 else [0.1, 0.1, 0.1, 0.25, 0.2, 0.25])) for i in range(240)]
+    docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(240)], "doc_id long, quality int")
+    used = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
+    x, hashed = quality_model.described(pa.array([texts[i] for i in used]))
+    good = np.array([i % 3 > 0 for i in used])
+    for gathered in (0, 1000):
+        ranker = quality_model.train(docs, labels, gathered)
+        z = quality_model.expand((x - ranker.mean) / ranker.scale, hashed).astype(float)
+        raw = z @ ranker.weights
+        pull = 1 / (1 + np.exp(raw[good][:, None] - raw[~good][None]))
+        slope = (pull.sum(0) @ z[~good] - pull.sum(1) @ z[good]) / pull.size + 1e-3 * ranker.weights
+        assert np.allclose(ranker.mean, x.mean(0)) and np.abs(slope).max() < 2e-4
+        assert abs(ranker.threshold - np.sort(raw)[(~good).sum() - 1 : (~good).sum() + 1].mean()) < 1e-4
+    many = spark.range(30_000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "CAST(id % 2 AS INT) AS quality")
+    monkeypatch.setattr(quality_model, "_learn", lambda total: total(quality_model._moments)[0].tolist())
+    want = [i % 2 for i in range(30_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert quality_model.train(many, many, 100) == quality_model.train(many, many) == [len(want), sum(want)]
