@@ -317,7 +317,7 @@ def stability_summary(spark, sf_dir):
 @query(f"{_STABLE} SELECT {_SAMPLES}, count(DISTINCT sample_seed) AS sample_scopes, count(*) AS partition_pairs, {_spread_sql('ari', 'ami_arithmetic')} FROM t WHERE sample_profile IS NOT NULL GROUP BY ALL")
 def sample_stability_summary(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    return _plain(results.sample_stability_summary(results.stability_pairs(runs, _run_labels(runs))), "ari", "ami")
+    return _plain(results.sample_stability_summary(results.stability_pairs(runs, _run_labels(runs), sampled=True)), "ari", "ami")
 
 
 @query(f"{_ROBUST} SELECT * EXCLUDE (x, y) REPLACE (round(ari, 7) AS ari, round(ami_arithmetic, 7) AS ami_arithmetic), x AS baseline_job_id, y AS perturbed_job_id FROM t")

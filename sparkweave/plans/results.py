@@ -121,42 +121,65 @@ def _information(spark: SparkSession, done: list[dict], labels: DataFrame, base:
 # pairs of runs
 
 
-def scores_of(pairs: DataFrame, labels: DataFrame, with_ami: bool = True) -> DataFrame:
-    """(left_job_id, right_job_id, ari, ami_arithmetic) of pairs of runs, all in one aggregation."""
-    keys = ("left_job_id", "right_job_id")
-    side = lambda k: pairs.select(*keys).join(labels.withColumnRenamed("job_id", k), k)
-    cells = stored(metrics.contingency(side(keys[0]), side(keys[1]), keys), "pair-cells")
-    found = metrics.agreement_of(cells, keys).select(*keys, "ari")
-    if not with_ami:
-        return found.withColumn("ami_arithmetic", F.lit(None).cast("double"))
-    return found.join(metrics.information_of(cells, keys).select(*keys, F.col("ami").alias("ami_arithmetic")), list(keys))
+def kinds_of(labels: DataFrame) -> DataFrame:
+    """(job_id, kind): runs of one kind have the same labels, but for a chance of 2^-100.
+
+    A kind is the number of nodes and the sums of four parts of hashes of node and label, so that a task adds up its rows before any move.
+    """
+    one, other, low = F.xxhash64("node", "label"), F.xxhash64("label", "node", F.lit(1)), F.lit((1 << 32) - 1)
+    parts = (one.bitwiseAND(low), F.shiftrightunsigned(one, 32), other.bitwiseAND(low), F.shiftrightunsigned(other, 32))
+    return labels.groupBy("job_id").agg(F.struct(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"h{i}") for i, x in enumerate(parts))).alias("kind"))
+
+
+def scored(pairs: DataFrame, labels: DataFrame, with_ami: bool = True) -> DataFrame:
+    """Pairs of runs (left_job_id, right_job_id, left_kind, right_kind, ...) with ari and ami_arithmetic, without the kinds.
+
+    Every two kinds that meet are compared once, all in one aggregation.
+    """
+    keys = ["left_kind", "right_kind"]
+    met = stored(pairs.select(*keys).distinct(), "pair-kinds")
+    ends = F.array(*(F.struct(F.col(f"{x}_kind").alias("kind"), F.col(f"{x}_job_id").alias("job_id")) for x in ("left", "right")))
+    shown = stored(pairs.select(F.inline(ends)).groupBy("kind").agg(F.min("job_id").alias("job_id")), "kinds")  # a run of each kind
+    own = stored(labels.join(shown, "job_id").select("kind", "node", "label"), "kind-labels")
+    side = lambda k: met.join(own.withColumnRenamed("kind", k), k)
+    cells = stored(metrics.contingency(side(keys[0]), side(keys[1]), tuple(keys)), "pair-cells")
+    found = metrics.agreement_of(cells, tuple(keys)).select(*keys, "ari")
+    if with_ami:
+        found = found.join(metrics.information_of(cells, tuple(keys)).select(*keys, F.col("ami").alias("ami_arithmetic")), keys)
+    else:
+        found = found.withColumn("ami_arithmetic", F.lit(None).cast("double"))
+    return pairs.join(stored(found, "kind-scores"), keys).drop(*keys)
 
 
 def _same(keys: tuple[str, ...]) -> list[Column]:
     return [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
 
 
-def stability_pairs(runs: DataFrame, labels: DataFrame, with_ami: bool = True) -> DataFrame:
-    """Every two runs of a group without dropout, by job_id; labels: (job_id, node, label)."""
-    calm = runs.where("dropout_rate = 0").select("job_id", *map(col, GROUP), "sample_profile", "sample_seed", "algorithm_seed")
-    pairs = calm.alias("l").join(calm.alias("r"), [*_same(GROUP), F.col("l.job_id") < F.col("r.job_id")]).select(
+def stability_pairs(runs: DataFrame, labels: DataFrame, with_ami: bool = True, sampled: bool = False) -> DataFrame:
+    """Every two runs of a group without dropout, by job_id; labels: (job_id, node, label). ``sampled``: only pairs whose first run is on a sample."""
+    calm = runs.where("dropout_rate = 0").select("job_id", *map(col, GROUP), "sample_profile", "sample_seed", "algorithm_seed").join(kinds_of(labels), "job_id")
+    calm = stored(calm, "calm-runs")
+    first = calm.where("sample_profile IS NOT NULL") if sampled else calm
+    pairs = first.alias("l").join(calm.alias("r"), [*_same(GROUP), F.col("l.job_id") < F.col("r.job_id")]).select(
         *(F.col(f"l.`{k}`").alias(k) for k in (*GROUP, "sample_profile", "sample_seed")), F.col("l.job_id").alias("left_job_id"), F.col("r.job_id").alias("right_job_id"),
-        F.col("l.algorithm_seed").alias("left_seed"), F.col("r.algorithm_seed").alias("right_seed"),
+        F.col("l.algorithm_seed").alias("left_seed"), F.col("r.algorithm_seed").alias("right_seed"), F.col("l.kind").alias("left_kind"), F.col("r.kind").alias("right_kind"),
     )
-    pairs = stored(pairs, "stability-pairs")
-    return pairs.join(scores_of(pairs, labels, with_ami), ["left_job_id", "right_job_id"])
+    return scored(stored(pairs, "stability-pairs"), labels, with_ami)
 
 
 def robustness_pairs(runs: DataFrame, labels: DataFrame, with_ami: bool = True) -> DataFrame:
     """Every perturbed run with the run of its group and seed without dropout; of several such the last by job_id."""
     keys = (*GROUP, "algorithm_seed")
+    kinds = kinds_of(labels)
     calm = runs.where("dropout_rate = 0").groupBy(*map(col, keys)).agg(F.max("job_id").alias("left_job_id"))
-    shaken = runs.where("dropout_rate > 0").select(F.col("job_id").alias("right_job_id"), *map(col, keys), "sample_profile", "sample_seed", "dropout_rate", "dropout_seed", col("dropout.removed_edges").alias("removed_edges"))
+    calm = calm.join(kinds.select(F.col("job_id").alias("left_job_id"), F.col("kind").alias("left_kind")), "left_job_id")
+    shaken = runs.where("dropout_rate > 0").join(kinds, "job_id")
+    shaken = shaken.select(F.col("job_id").alias("right_job_id"), *map(col, keys), "sample_profile", "sample_seed", "dropout_rate", "dropout_seed", col("dropout.removed_edges").alias("removed_edges"), F.col("kind").alias("right_kind"))
     pairs = calm.alias("l").join(shaken.alias("r"), _same(keys)).select(
-        "left_job_id", "right_job_id", *(F.col(f"r.`{k}`").alias(k) for k in (*keys, "sample_profile", "sample_seed", "dropout_rate", "dropout_seed", "removed_edges")),
+        "left_job_id", "right_job_id", *(F.col(f"r.`{k}`").alias(k) for k in (*keys, "sample_profile", "sample_seed", "dropout_rate", "dropout_seed", "removed_edges")), "left_kind", "right_kind",
     )
-    pairs = stored(pairs, "robustness-pairs")
-    return pairs.join(scores_of(pairs, labels, with_ami), ["left_job_id", "right_job_id"]).withColumnsRenamed({"left_job_id": "baseline_job_id", "right_job_id": "perturbed_job_id"})
+    pairs = scored(stored(pairs, "robustness-pairs"), labels, with_ami)
+    return pairs.withColumnsRenamed({"left_job_id": "baseline_job_id", "right_job_id": "perturbed_job_id"})
 
 
 # distributions
@@ -189,6 +212,13 @@ def wide(rows: DataFrame, keys: list[str], values: list[str], *more: Column) ->
     return joined.select(*(F.col(f"l.`{c}`").alias(c) for c in (*keys, *names)), *(F.col(f"r.`{c}`").alias(c) for c in found.columns if c not in keys))
 
 
+def spread(pairs: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """As ``wide`` of PAIR, in one aggregation."""
+    found = pairs.groupBy(*map(col, keys)).agg(*more, *(F.struct(*distribution_of(F.col(v))).alias(v) for v in PAIR))
+    own = [c for c in found.columns if c not in PAIR]
+    return found.select(*map(col, own), *(F.col(v)[s].alias(f"{v}_{s}") for v in PAIR for s in STATISTICS))
+
+
 def _available(runs: DataFrame) -> list[str]:
     return [m for m in RUN_METRICS if m in runs.columns]
 
@@ -203,17 +233,17 @@ def aggregate_samples(runs: DataFrame) -> DataFrame:
 
 
 def stability_summary(pairs: DataFrame) -> DataFrame:
-    return wide(pairs, list(GROUP), list(PAIR))
+    return spread(pairs, list(GROUP))
 
 
 def robustness_summary(pairs: DataFrame) -> DataFrame:
-    return wide(pairs, [*GROUP, "dropout_rate"], list(PAIR))
+    return spread(pairs, [*GROUP, "dropout_rate"])
 
 
 def sample_stability_summary(pairs: DataFrame) -> DataFrame:
     """Over all samples of a profile, with the number of samples and of pairs."""
-    more = (F.countDistinct("sample_seed").alias("sample_scopes"), F.count(F.lit(1)).alias("partition_pairs"))
-    return wide(pairs.where("sample_profile IS NOT NULL"), list(SAMPLES), list(PAIR), *more)
+    more = (F.size(F.collect_set("sample_seed")).cast("long").alias("sample_scopes"), F.count(F.lit(1)).alias("partition_pairs"))
+    return spread(pairs.where("sample_profile IS NOT NULL"), list(SAMPLES), *more)
 
 
 DATASET = (

@@ -60,3 +60,30 @@ def test_queries_equal_their_sql(spark):
         at = [[d[0] for d in found.description].index(c) for c in columns]
         want = sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=str)
         assert sorted((tuple(map(plain, r)) for r in rows.select(*columns).collect()), key=str) == want, name
+
+
+def test_equal_partitions_are_compared_once(spark, monkeypatch):
+    """40 runs of two kinds and one that differs by a label; only pairs that begin with a sample's run, where these are asked for."""
+    from sparkweave.operators import metrics
+    from sparkweave.plans import results
+
+    names = [f"'x' AS `{n}`" for n in results.GROUP]
+    runs = spark.range(41).selectExpr("concat('j', lpad(id, 2, '0')) AS job_id", *names, "IF(id % 2 = 0, 'p', NULL) AS sample_profile", "id AS sample_seed", "id AS algorithm_seed", "0.0D AS dropout_rate")
+    labels = spark.range(41).selectExpr("id", "concat('j', lpad(id, 2, '0')) AS job_id", "explode(sequence(0L, 5L)) AS node").selectExpr("job_id", "node", "CAST(IF(id = 40 AND node = 0, 9, node % (2 + id % 2)) AS INT) AS label")
+    cells, plain = [], metrics.contingency
+    monkeypatch.setattr(metrics, "contingency", lambda *a: cells.append(plain(*a)) or cells[-1])
+    every = {(r.left_job_id, r.right_job_id): r for r in results.stability_pairs(runs, labels).collect()}
+    assert len(every) == 41 * 20 and cells[0].select("left_kind", "right_kind").distinct().count() == 6
+    by_run = {}
+    for r in labels.collect():
+        by_run.setdefault(r.job_id, {})[r.node] = r.label
+    for a, b in (("j00", "j02"), ("j00", "j01"), ("j01", "j02"), ("j01", "j40"), ("j00", "j40")):
+        one, two = (spark.createDataFrame(list(by_run[x].items()), "node long, label int") for x in (a, b))
+        assert abs(every[a, b].ari - metrics.agreement(one, two).first().ari) < 1e-12
+        assert abs(every[a, b].ami_arithmetic - metrics.adjusted_mutual_information(one, two).first().ami) < 1e-12
+    some = results.stability_pairs(runs, labels, sampled=True).collect()
+    assert {(r.left_job_id, r.right_job_id) for r in some} == {k for k, r in every.items() if r.sample_profile}
+    one = results.sample_stability_summary(results.stability_pairs(runs, labels)).first()
+    two = results.sample_stability_summary(results.stability_pairs(runs, labels, sampled=True)).first()
+    plain = lambda row: [round(v, 9) if isinstance(v, float) else v for v in row]
+    assert plain(one) == plain(two) and one.sample_scopes == 20 and one.partition_pairs == len(some)
