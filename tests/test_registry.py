@@ -87,3 +87,37 @@ def test_equal_partitions_are_compared_once(spark, monkeypatch):
     two = results.sample_stability_summary(results.stability_pairs(runs, labels, sampled=True)).first()
     plain = lambda row: [round(v, 9) if isinstance(v, float) else v for v in row]
     assert plain(one) == plain(two) and one.sample_scopes == 20 and one.partition_pairs == len(some)
+
+
+def test_betweenness_on_rings_of_cliques(spark):
+    """Rings by running sums, and what isn't one by its sources; both against counting."""
+    import numpy as np
+
+    from sparkweave.graph import Graph
+    from sparkweave.operators import girvan_newman
+
+    rng, rings = np.random.default_rng(1), 0
+    for t in range(60):
+        edges, n = [], 0
+        for _ in range(rng.integers(1, 4)):
+            size, base = int(rng.integers(4, 9)), n
+            n += size
+            for i in range(size):
+                a, b = base + i, base + (i + 1) % size
+                block = range(n, n + int(rng.integers(0, 4)))
+                edges += [(a, b), *((x, y) for x in block for y in (a, b)), *((x, y) for x in block for y in block if x < y)]
+                n += len(block)
+        whole = t % 4 > 0
+        if not whole:
+            edges.append(tuple(rng.choice(n, 2, replace=False).tolist()))  # a chord, or an edge to elsewhere
+        names = rng.permutation(n).tolist()
+        edges = sorted({(min(names[u], names[v]), max(names[u], names[v])) for u, v in edges})
+        score, want = girvan_newman._on_rings(n, np.array(edges)), brute(edges)
+        assert score is not None or not whole
+        rings += score is not None
+        if score is not None:
+            assert all(abs(s - float(want[e])) < 1e-9 for s, e in zip(score, edges, strict=True))
+        elif rings < 10:
+            found = girvan_newman.betweenness(Graph.dense(spark, n, edges)).collect()
+            assert len(found) == len(edges) and all(abs(r.score - float(want[r.u, r.v])) < 1e-9 for r in found)
+    assert rings >= 45
